@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, piece_codec
+from palimpsest.llm import common, lang_id, piece_codec, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,15 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sentencepiece"] = op6_sentencepiece
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.predict(common.documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES["op3_language"] = op3_language
+QUERIES["op9_quality"] = op9_quality
