@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, lang_id, piece_codec, quality
+from palimpsest.llm import common, lang_id, pii, piece_codec, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_language"] = op3_language
 QUERIES["op9_quality"] = op9_quality
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(common.documents(spark, sf_dir))
+
+
+QUERIES["op2_personal_data"] = op2_personal_data
