@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, lang_id, pii, piece_codec, quality
+from palimpsest.llm import common, lang_id, pii, piece_codec, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_personal_data"] = op2_personal_data
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(common.documents(spark, sf_dir))
+
+
+QUERIES["op10_secrets"] = op10_secrets
