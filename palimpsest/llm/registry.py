@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, lang_id, pii, piece_codec, quality, secrets
+from palimpsest.llm import common, lang_id, pii, piece_codec, quality, secrets, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_secrets"] = op10_secrets
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edited(common.documents(spark, sf_dir))
+
+
+QUERIES["op8_winnowing"] = op8_winnowing
