@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, lang_id, pii, piece_codec, quality, secrets, winnow
+from palimpsest.llm import common, lang_id, mixing, pii, piece_codec, quality, secrets, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,11 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_winnowing"] = op8_winnowing
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.contract(common.documents(spark, sf_dir))
+
+
+QUERIES["op5_mixing"] = op5_mixing
+ORACLES["op5_mixing"] = mixing.ORACLE
