@@ -81,3 +81,11 @@ def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, make, column
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
     return source.mapInArrow(run, schema)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, even where ``body`` uses it inside a lambda.
+
+    A plain column may be inlined by the optimiser into each place that uses it, lambdas included.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

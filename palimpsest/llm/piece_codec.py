@@ -90,8 +90,18 @@ class PieceCodec:
         self.cache: dict[str, bytes] = {}
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def _rounds(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
+    def _pairs(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray, rank: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fill in rank and product of the pairs that begin at ``at``."""
+        pair = symbols[at] * self.base + symbols[at + 1]
+        row = np.searchsorted(self.key, pair)
+        row[row == self.key.size] = 0
+        same = (self.key[row] == pair) & (owner[at] == owner[at + 1])
+        rank[at[same]] = self.rank[row[same]]
+        product[at[same]] = self.product[row[same]]
+        return rank, product
+
+    def _rounds(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as bytes."""
         count = len(words)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=count)
         text = "".join(words)
@@ -104,47 +114,38 @@ class PieceCodec:
         symbols = ids[inverse]
         owner = np.repeat(np.arange(count, dtype=np.int64), lengths)
         done_owner, done_symbols = [], []
+        rank, product = self._pairs(symbols, owner, np.arange(max(0, symbols.size - 1)), np.full(symbols.size, _NONE), np.zeros(symbols.size, dtype=np.int64))
         while symbols.size:
-            pair = symbols[:-1] * self.base + symbols[1:]
-            at = np.searchsorted(self.key, pair)
-            at[at == self.key.size] = 0
-            same = (self.key[at] == pair) & (owner[:-1] == owner[1:])
-            rank = np.full(symbols.size, _NONE)
-            rank[:-1][same] = self.rank[at[same]]
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             least = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.r_[starts, symbols.size])
-            stuck = np.repeat(least == _NONE, sizes)
-            if stuck.any():
+            ended = least == _NONE
+            if ended.any():
+                stuck = np.repeat(ended, sizes)
                 done_owner.append(owner[stuck])
                 done_symbols.append(symbols[stuck])
                 live = ~stuck
-                symbols, owner, rank = symbols[live], owner[live], rank[live]
-                at = np.r_[at, 0][live]
-                keep = least != _NONE
-                least, sizes = least[keep], sizes[keep]
+                symbols, owner, rank, product = symbols[live], owner[live], rank[live], product[live]
+                least, sizes = least[~ended], sizes[~ended]
                 if not symbols.size:
                     break
-            else:
-                at = np.r_[at, 0]
-            starts = np.cumsum(sizes) - sizes
-            hit = rank == np.repeat(least, sizes)
-            # Within a run of overlapping hits the first, third, ... are taken.
-            place = np.arange(symbols.size)
-            new_run = hit & ~np.r_[False, hit[:-1]]
-            run_start = np.maximum.accumulate(np.where(new_run, place, 0))
-            hit &= (place - run_start) % 2 == 0
-            one = self.unsafe[least]
-            if one.any():
-                first = np.minimum.reduceat(np.where(hit, place, symbols.size), starts)
-                only = np.repeat(one, sizes)
-                hit &= ~only | (place == np.repeat(first, sizes))
-            where = np.flatnonzero(hit)
-            symbols = symbols.copy()
-            symbols[where] = self.product[at[where]]
+                starts = np.cumsum(sizes) - sizes
+            # The hits of a round, and of overlapping ones in a run the first, third, ...
+            where = np.flatnonzero(rank == np.repeat(least, sizes))
+            new_run = np.r_[True, np.diff(where) != 1]
+            order = np.arange(where.size)
+            where = where[(order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0]
+            if self.unsafe[least].any():
+                word = np.searchsorted(starts, where, side="right") - 1
+                where = where[~self.unsafe[least[word]] | np.r_[True, word[1:] != word[:-1]]]
+            symbols[where] = product[where]
             keep = np.ones(symbols.size, dtype=bool)
             keep[where + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            symbols, owner, rank, product = symbols[keep], owner[keep], rank[keep], product[keep]
+            moved = where - np.arange(where.size)
+            near = np.r_[moved, moved[moved > 0] - 1]
+            rank[near] = _NONE
+            rank, product = self._pairs(symbols, owner, near[near < symbols.size - 1], rank, product)
         owner, symbols = np.concatenate(done_owner), np.concatenate(done_symbols)
         order = np.argsort(owner, kind="stable")
         owner, symbols = owner[order], symbols[order]
@@ -160,8 +161,9 @@ class PieceCodec:
                 for k, v in enumerate(b):
                     out[spots + k] = v
             owner, symbols = np.repeat(owner, width), out
-        bounds = np.searchsorted(owner, np.arange(1, count))
-        return np.split(symbols, bounds)
+        bounds = (4 * np.searchsorted(owner, np.arange(count + 1))).tolist()
+        raw_ids = symbols.astype("<u4").tobytes()
+        return [raw_ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in blocks of bounded size and put them into the cache."""
@@ -170,8 +172,7 @@ class PieceCodec:
             chars += len(word)
             if chars >= BLOCK_CHARS or k == len(words) - 1:
                 block = words[begin : k + 1]
-                for w, ids in zip(block, self._rounds(block), strict=True):
-                    self.cache[w] = ids.astype("<u4").tobytes()
+                self.cache.update(zip(block, self._rounds(block), strict=True))
                 begin, chars = k + 1, 0
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, lang_id, mixing, pii, piece_codec, quality, secrets, winnow
+from palimpsest.llm import common, lang_id, line_chunks, mixing, pii, piece_codec, quality, secrets, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_mixing"] = op5_mixing
 ORACLES["op5_mixing"] = mixing.ORACLE
+
+
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.contract(common.documents(spark, sf_dir))
+
+
+QUERIES["op4_line_chunks"] = op4_line_chunks
+ORACLES["op4_line_chunks"] = line_chunks.ORACLE
