@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, lang_id, line_chunks, mixing, pii, piece_codec, quality, secrets, winnow
+from palimpsest.llm import common, lang_id, line_chunks, minhash, mixing, pii, piece_codec, quality, secrets, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,10 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_line_chunks"] = op4_line_chunks
 ORACLES["op4_line_chunks"] = line_chunks.ORACLE
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.cluster(common.documents(spark, sf_dir), words=4)
+
+
+QUERIES["op1_minhash"] = op1_minhash
