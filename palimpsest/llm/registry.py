@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import common, lang_id, line_chunks, minhash, mixing, pii, piece_codec, quality, secrets, winnow
+from palimpsest.llm import common, itq, lang_id, line_chunks, minhash, mixing, pii, piece_codec, quality, secrets, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_minhash"] = op1_minhash
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.similar(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES["op7_embeddings"] = op7_embeddings
