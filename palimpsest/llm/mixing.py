@@ -112,8 +112,9 @@ def contract(docs: DataFrame) -> DataFrame:
 
 def resampled(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row as often as it is taken, whole texts."""
-    mixed = mix(docs, carry={c: F.col(c) for c in columns})
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    mixed = mix(docs, carry={f"_c{i}": F.col(c) for i, c in enumerate(columns)})
+    copies = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
+    return mixed.filter("copies > 0").withColumn("_copy", F.explode(copies)).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 #: The contract query in DuckDB.

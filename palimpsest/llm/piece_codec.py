@@ -250,3 +250,21 @@ def digests(df: DataFrame, model: str) -> DataFrame:
         return work
 
     return map_texts(df, {"doc_id": F.col("doc_id")}, text_of(), make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(df: DataFrame, model: str, keep: dict, text_col: str = "text") -> DataFrame:
+    """``keep`` plus ``n_tokens, ids`` and ``round_trip``: whether the ids decode to the text.
+
+    They do unless the text holds the space mark itself, which decodes to a space.
+    """
+
+    def make():
+        tool = codec(model)
+
+        def work(texts: list[str]) -> dict:
+            coded = tool.encode_batch(texts)
+            return {"n_tokens": [len(c) // 4 for c in coded], "ids": coded, "round_trip": [tool.decode(c) == t for c, t in zip(coded, texts, strict=True)]}
+
+        return work
+
+    return map_texts(df, keep, text_of(text_col), make, "n_tokens long, ids binary, round_trip boolean")
