@@ -1,35 +1,505 @@
-"""Registered queries of the versioned store and their DuckDB oracles."""
+"""Registered queries of the versioned store and their DuckDB oracles.
+
+The version view is over ``events``: key = user, sequence = event id, errors are deletions.
+Bytes leave as hexadecimal strings. Names that begin with ``ext_`` are extensions: relational
+operators over the version table that the survey's core doesn't have.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions import checksum, codec, hashing, naming, ordering
+from palimpsest.operators import batch, bloom
+from palimpsest.operators.store import Store
+from palimpsest.operators.versions import VersionTable
+from palimpsest.sources import record_log
+from palimpsest.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+V = """V AS (SELECT CAST(user_id AS VARCHAR) AS user_key, event_id AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS type,
+  CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value FROM events)"""
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its oracle if SQL has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
 
-def snapshot_at(spark: SparkSession, sf_dir: str, snap: int = 5000) -> DataFrame:
-    """Live keys of the event store at ``snap``: newest visible version, tombstones hidden."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> VersionTable:
     dead = F.col("event_type") == "error"
-    versions = events.select(
-        F.col("user_id").cast("string").alias("user_key"),
-        F.col("event_id").alias("seq"),
-        F.when(dead, 0).otherwise(1).alias("type"),
-        F.when(~dead, F.col("props")).alias("value"),
-    )
-    newest = Window.partitionBy("user_key").orderBy(F.desc("seq"), F.desc("type"))
-    return (
-        versions.filter(F.col("seq") <= snap)
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter((F.col("_rank") == 1) & (F.col("type") == 1))
-        .select("user_key", "seq", "value")
-    )
-
-
-QUERIES["snapshot_at"] = snapshot_at
+    return VersionTable(_events(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_key"), F.col("event_id").alias("seq"), F.when(dead, 0).otherwise(1).alias("type"), F.when(~dead, F.col("props")).alias("value")))
+
+
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that executors see too."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    path = os.path.join(record_log.local(named), f"{tag}-{uuid.uuid4().hex}")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+# ---- snapshots and lookups ----
+
+
+@query(f"""WITH {V} SELECT user_key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, type DESC) AS rn
+  FROM V WHERE seq <= 5000) WHERE rn = 1 AND type = 1""")
+def snapshot_at(spark, sf_dir, snap: int = 5000):
+    return _versions(spark, sf_dir).snapshot(snap)
+
+
+@query(f"""WITH {V} SELECT user_key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, type DESC) AS rn
+  FROM V) WHERE rn = 1 AND type = 1""")
+def snapshot_latest(spark, sf_dir):
+    return _versions(spark, sf_dir).snapshot()
+
+
+def _point(key: str, snap: int) -> str:
+    return f"""WITH {V} SELECT '{key}' AS user_key, {snap}::BIGINT AS snap, v.seq,
+  CASE WHEN v.seq IS NULL THEN 'ABSENT' WHEN v.type = 0 THEN 'DELETED' ELSE 'FOUND' END AS status, v.value
+  FROM (SELECT 1 AS one) LEFT JOIN (SELECT * FROM V WHERE user_key = '{key}' AND seq <= {snap} ORDER BY seq DESC, type DESC LIMIT 1) v ON TRUE"""
+
+
+@query(_point("7", 9000))
+def point_get_found(spark, sf_dir):
+    return _versions(spark, sf_dir).get("7", 9000)
+
+
+@query(_point("3", 700))
+def point_get_deleted(spark, sf_dir):
+    return _versions(spark, sf_dir).get("3", 700)
+
+
+@query(_point("no such key", 9000))
+def point_get_absent(spark, sf_dir):
+    return _versions(spark, sf_dir).get("no such key", 9000)
+
+
+def _lookups(spark, sf_dir):
+    snaps = F.explode(F.array(*[F.lit(x).cast("long") for x in (100, 5000, 9000)]))
+    return _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_key")).distinct().withColumn("snap", snaps)
+
+
+@query(f"""WITH {V}, K AS (SELECT user_key, snap::BIGINT AS snap FROM (SELECT DISTINCT user_key FROM V), unnest([100, 5000, 9000]) AS t(snap))
+  SELECT K.user_key, K.snap, V.seq, CASE WHEN V.seq IS NULL THEN 'ABSENT' WHEN V.type = 0 THEN 'DELETED' ELSE 'FOUND' END AS status, V.value
+  FROM K ASOF LEFT JOIN V ON K.user_key = V.user_key AND K.snap >= V.seq""")
+def multi_get_asof(spark, sf_dir):
+    return _versions(spark, sf_dir).multi_get(_lookups(spark, sf_dir))
+
+
+@query(f"""WITH {V}, E AS (SELECT user_key, seq, type FROM V WHERE seq % 10 = 0 UNION ALL SELECT user_key, seq + 1, type FROM V WHERE seq % 10 = 1)
+  SELECT user_key, seq, type FROM E WHERE EXISTS (SELECT 1 FROM V WHERE V.user_key = E.user_key AND V.seq = E.seq AND V.type = E.type)""")
+def exact_contains(spark, sf_dir):
+    table = _versions(spark, sf_dir)
+    keys = table.df.select("user_key", "seq", "type")
+    asked = keys.filter("seq % 10 = 0").unionAll(keys.filter("seq % 10 = 1").withColumn("seq", F.col("seq") + 1))
+    return table.contains(asked)
+
+
+@query(f"WITH {V} SELECT sum(octet_length(encode(user_key)) + 8 + coalesce(octet_length(encode(value)), 0))::BIGINT AS bytes FROM V")
+def memory_usage(spark, sf_dir):
+    return _versions(spark, sf_dir).memory_usage()
+
+
+# ---- the cursor ----
+
+_ORDER = "user_key, seq DESC, type DESC"
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, coalesce(value, '') AS value, row_number() OVER (ORDER BY {_ORDER}) AS place FROM V")
+def history_ordered(spark, sf_dir):
+    # The place is only there so that the order can be checked; it needs all rows in one order.
+    table = _versions(spark, sf_dir)
+    place = F.row_number().over(Window.orderBy("user_key", F.desc("seq"), F.desc("type")))
+    return table.history().select("user_key", "seq", "type", F.coalesce("value", F.lit("")).alias("value"), place.alias("place"))
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, value FROM V ORDER BY {_ORDER} LIMIT 1")
+def seek_first(spark, sf_dir):
+    return _versions(spark, sf_dir).first()
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, value FROM V ORDER BY user_key DESC, seq, type LIMIT 1")
+def seek_last(spark, sf_dir):
+    return _versions(spark, sf_dir).last()
+
+
+_AT_LEAST = "(user_key > '42' OR (user_key = '42' AND (seq < 500 OR (seq = 500 AND type <= 1))))"
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, value FROM V WHERE {_AT_LEAST} ORDER BY {_ORDER} LIMIT 1")
+def seek_ge(spark, sf_dir):
+    return _versions(spark, sf_dir).seek("42", 500)
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, value FROM V WHERE {_AT_LEAST.replace('<= 1', '< 1')} ORDER BY {_ORDER} LIMIT 1")
+def next_of(spark, sf_dir):
+    return _versions(spark, sf_dir).next("42", 500, 1)
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, value FROM V WHERE NOT {_AT_LEAST} ORDER BY user_key DESC, seq, type LIMIT 1")
+def prev_of(spark, sf_dir):
+    return _versions(spark, sf_dir).prev("42", 500, 1)
+
+
+@query(f"""WITH {V} SELECT user_key, seq, type, lag(user_key) OVER w AS prev_key, lag(seq) OVER w AS prev_seq,
+  lead(user_key) OVER w AS next_key, lead(seq) OVER w AS next_seq FROM V WINDOW w AS (ORDER BY {_ORDER})""")
+def next_prev_neighbors(spark, sf_dir):
+    return _versions(spark, sf_dir).neighbours()
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, value FROM V WHERE user_key >= '20' AND user_key < '45'")
+def range_scan_fwd(spark, sf_dir):
+    return _versions(spark, sf_dir).scan("20", "45")
+
+
+@query(f"""WITH {V} SELECT user_key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, type DESC) AS rn
+  FROM V WHERE seq <= 5000 AND user_key >= '20' AND user_key < '45') WHERE rn = 1 AND type = 1""")
+def range_scan_rev(spark, sf_dir):
+    return _versions(spark, sf_dir).scan("20", "45", snap=5000, forward=False)
+
+
+@query(f"WITH {V} SELECT user_key, seq, type, row_number() OVER (ORDER BY user_key DESC, seq DESC, type DESC) AS place FROM V")
+def custom_order(spark, sf_dir):
+    """A descending key order, by its derived sort key."""
+    order = ordering.InternalOrder(ordering.Reversed())
+    rows = _versions(spark, sf_dir).df.withColumn("user_key", F.col("user_key").cast("binary"))
+    place = F.row_number().over(Window.orderBy(*order.columns()))
+    return rows.select(F.col("user_key").cast("string").alias("user_key"), "seq", "type", place.alias("place"))
+
+
+# ---- write batches ----
+
+
+def _ops(spark, sf_dir) -> DataFrame:
+    """The events as operations: a dense index in event order."""
+    return _versions(spark, sf_dir).df.select(F.col("seq").alias("op_index"), "type", "user_key", "value")
+
+
+@query(f"WITH {V} SELECT user_key, 1000 + seq AS seq, type, value FROM V")
+def batch_apply(spark, sf_dir):
+    return batch.apply(_ops(spark, sf_dir), 1000)
+
+
+@query(f"""WITH {V}, n AS (SELECT max(seq) + 1 AS n FROM V WHERE seq < 100)
+  SELECT seq AS op_index, type, user_key, value FROM V WHERE seq < 100 UNION ALL
+  SELECT seq - 200 + n AS op_index, type, user_key, value FROM V, n WHERE seq >= 200 AND seq < 300""")
+def batch_append(spark, sf_dir):
+    ops = _ops(spark, sf_dir)
+    return batch.append(ops.filter("op_index < 100"), ops.filter("op_index >= 200 and op_index < 300").withColumn("op_index", F.col("op_index") - 200))
+
+
+_VARLEN = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 ELSE 4 END"
+
+
+def _part(c: str) -> str:
+    n = f"octet_length(encode({c}))"
+    return f"{_VARLEN.format(n)} + {n}"
+
+
+@query(f"""WITH {V} SELECT (12 + sum(1 + {_part('user_key')} + CASE WHEN type = 1 THEN {_part('value')} ELSE 0 END))::BIGINT AS byte_size,
+  count(*) AS op_count FROM V""")
+def batch_encoded_size(spark, sf_dir):
+    return batch.encoded_size(_ops(spark, sf_dir))
+
+
+@query(f"WITH {V} SELECT seq // 500 AS batch_id, count(*) AS op_count, min(seq) AS base FROM V GROUP BY 1")
+def batch_count(spark, sf_dir):
+    """Header fields of encoded batches, read from the bytes."""
+    coded = _coded(spark, sf_dir)
+    return coded.select("batch_id", codec.read_fixed_col(F.substring("contents", 9, 4), 4).cast("long").alias("op_count"), codec.read_fixed_col(F.col("contents"), 8).cast("long").alias("base"))
+
+
+def _coded(spark, sf_dir) -> DataFrame:
+    ops = _ops(spark, sf_dir).withColumn("batch_id", F.floor(F.col("op_index") / 500).cast("long"))
+    return batch.encode(ops.withColumn("base", F.col("op_index")), "batch_id", "base")
+
+
+@query(f"WITH {V} SELECT seq // 500 AS batch_id, seq, type, user_key, value FROM V")
+def batch_encode_decode_roundtrip(spark, sf_dir):
+    back = batch.decode(_coded(spark, sf_dir), ["batch_id"])
+    return back.select("batch_id", (F.col("base") + F.col("op_index")).alias("seq"), "type", F.col("user_key").cast("string").alias("user_key"), F.col("value").cast("string").alias("value"))
+
+
+# ---- codecs, checksums, hash ----
+
+
+def _ids(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id"))
+
+
+@query("""SELECT id, xor(x, x >> 16)::BIGINT AS h FROM (SELECT event_id AS id,
+  (((2785903480 + event_id) % 4294967296)::HUGEINT * 3332679571 % 4294967296)::BIGINT AS x FROM events)""")
+def hash_fixed32(spark, sf_dir):
+    return _ids(spark, sf_dir).select("id", hashing.hash_fixed32_col(F.col("id"), bloom.SEED).alias("h"))
+
+
+@query()
+def hash_bytes(spark, sf_dir):
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id"), hashing.hash32_col(F.col("props").cast("binary"), bloom.SEED).alias("h"))
+
+
+@query("""SELECT id, v, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 WHEN v < 34359738368 THEN 5 ELSE 6 END AS n
+  FROM (SELECT event_id AS id, event_id * event_id * 1000 AS v FROM events)""")
+def varint_size(spark, sf_dir):
+    rows = _ids(spark, sf_dir).withColumn("v", F.col("id") * F.col("id") * 1000)
+    return rows.select("id", "v", codec.varint_length_col(F.col("v")).alias("n"))
+
+
+def _le(value: str, width: int) -> str:
+    return " || ".join(f"printf('%02X', ({value} >> {8 * i}) & 255)" for i in range(width))
+
+
+@query(f"SELECT event_id AS id, {_le('event_id * 7919', 4)} AS bytes FROM events")
+def fixed32_le_hex(spark, sf_dir):
+    return _ids(spark, sf_dir).select("id", F.hex(codec.fixed32_col(F.col("id") * 7919)).alias("bytes"))
+
+
+@query(f"SELECT event_id AS id, {_le('event_id * 104729 * 1299709', 8)} AS bytes FROM events")
+def fixed64_le_hex(spark, sf_dir):
+    return _ids(spark, sf_dir).select("id", F.hex(codec.fixed64_col(F.col("id") * 104729 * 1299709)).alias("bytes"))
+
+
+@query("SELECT event_id AS id, event_id * 104729 * 1299709 AS v FROM events")
+def fixed_roundtrip(spark, sf_dir):
+    return _ids(spark, sf_dir).select("id", codec.read_fixed_col(codec.fixed64_col(F.col("id") * 104729 * 1299709), 8).cast("long").alias("v"))
+
+
+@query(f"WITH {V} SELECT user_key, seq, hex(encode(user_key)) || printf('%02X', type) || {_le('seq', 7)} AS ikey FROM V")
+def internal_key_hex(spark, sf_dir):
+    return _versions(spark, sf_dir).df.select("user_key", "seq", F.hex(codec.internal_key_col(F.col("user_key").cast("binary"), F.col("seq"), F.col("type"))).alias("ikey"))
+
+
+@query(f"WITH {V} SELECT user_key, seq, type FROM V")
+def internal_key_parse(spark, sf_dir):
+    key = codec.internal_key_col(F.col("user_key").cast("binary"), F.col("seq"), F.col("type"))
+    parsed = _versions(spark, sf_dir).df.select(codec.parse_internal_key_col(key).alias("p"))
+    return parsed.select(F.col("p.user_key").cast("string").alias("user_key"), "p.seq", "p.type")
+
+
+@query("SELECT event_id AS id, event_id * event_id * 1000 AS v, event_id * event_id * 1000 AS wide FROM events")
+def varint_roundtrip(spark, sf_dir):
+    v = F.col("id") * F.col("id") * 1000
+    return _ids(spark, sf_dir).select("id", codec.read_varint_col(codec.varint_col(v))["value"].cast("long").alias("v"), codec.read_varint_col(codec.varint_wide_col(v))["value"].cast("long").alias("wide"))
+
+
+@query("SELECT event_id AS id, props AS body, octet_length(encode(props)) + CASE WHEN octet_length(encode(props)) < 128 THEN 1 ELSE 2 END AS used FROM events")
+def size_prefixed_roundtrip(spark, sf_dir):
+    read = codec.read_sized_col(F.concat(codec.sized_col(F.col("props").cast("binary")), F.lit(b"rest")))
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id"), read.alias("r")).select("id", F.col("r.slice").cast("string").alias("body"), F.col("r.used").alias("used"))
+
+
+@query()
+def crc32c_values(spark, sf_dir):
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id"), checksum.crc32c_col(F.col("props").cast("binary")).alias("crc"))
+
+
+@query("SELECT event_id AS id, (event_id * 2654435761) % 4294967296 AS v, true AS changed FROM events")
+def crc32c_mask_unmask(spark, sf_dir):
+    rows = _ids(spark, sf_dir).withColumn("v", F.col("id") * 2654435761 % 4294967296)
+    masked = checksum.mask_col(F.col("v"))
+    return rows.select("id", checksum.unmask_col(masked).alias("v"), (masked != F.col("v")).alias("changed"))
+
+
+# ---- membership filters ----
+
+_HASHED = """H AS (SELECT event_id AS id, event_id % 16 AS filter_id, xor(x, x >> 16)::BIGINT AS h FROM (SELECT event_id,
+  (((2785903480 + event_id) % 4294967296)::HUGEINT * 3332679571 % 4294967296)::BIGINT AS x FROM events)),
+  S AS (SELECT filter_id, ((greatest(64, count(*) * 10) + 7) // 8 * 8)::BIGINT AS bits FROM H GROUP BY 1),
+  B AS (SELECT filter_id, id, (((h + i * ((h >> 17) | ((h & 131071) << 15))) & 4294967295) % bits) AS bit FROM H JOIN S USING (filter_id), unnest([0, 1, 2, 3, 4, 5]) AS t(i))"""
+
+
+def _filter_keys(spark, sf_dir) -> DataFrame:
+    return _ids(spark, sf_dir).select((F.col("id") % 16).alias("filter_id"), F.col("id"), codec.fixed32_col(F.col("id")).alias("key"))
+
+
+@query(f"WITH {_HASHED} SELECT filter_id, bit // 8 AS byte, bit_or((1 << (bit % 8)::INT)::INT)::INT AS mask FROM B GROUP BY 1, 2")
+def bloom_bits(spark, sf_dir):
+    return bloom.build_bits(_filter_keys(spark, sf_dir), bloom.BloomPolicy(), hashed=hashing.hash_fixed32_col(F.col("id"), bloom.SEED))
+
+
+def _probe(spark, sf_dir, shift: int) -> DataFrame:
+    policy, keys = bloom.BloomPolicy(), _filter_keys(spark, sf_dir)
+    bits = bloom.build_bits(keys, policy, hashed=hashing.hash_fixed32_col(F.col("id"), bloom.SEED))
+    sizes = keys.groupBy("filter_id").agg(F.greatest(F.lit(64), F.count(F.lit(1)) * 10).alias("n")).select("filter_id", (F.floor((F.col("n") + 7) / 8) * 8).cast("long").alias("bits"))
+    asked = keys.select("filter_id", codec.fixed32_col(F.col("id") + shift).alias("key"))
+    return bloom.may_match(asked, bits, sizes, policy)
+
+
+@query(f"WITH {_HASHED} SELECT filter_id, count(*) AS keys, count(*) AS matches FROM H GROUP BY 1")
+def bloom_may_match(spark, sf_dir):
+    """No key of a filter is missed."""
+    return _probe(spark, sf_dir, 0).groupBy("filter_id").agg(F.count(F.lit(1)).alias("keys"), F.count_if("may_match").alias("matches"))
+
+
+@query("SELECT true AS within_bound FROM (SELECT 1)")
+def bloom_fpr(spark, sf_dir):
+    """Absent keys match in 2 of 100 cases at most."""
+    return _probe(spark, sf_dir, 1_000_000_000).agg((F.avg(F.col("may_match").cast("double")) <= 0.02).alias("within_bound"))
+
+
+@query()
+def bloom_filters(spark, sf_dir):
+    return bloom.filters(_filter_keys(spark, sf_dir).select("filter_id", "key"), bloom.BloomPolicy()).select("filter_id", F.hex("filter").alias("filter"))
+
+
+# ---- separators ----
+
+
+def _neighbour_keys(spark, sf_dir) -> DataFrame:
+    keys = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("a"))
+    other = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("b"))
+    return keys.join(other, "page_id")
+
+
+@query(f"""SELECT page_id, CASE WHEN d IS NOT NULL AND ascii(substr(a, d, 1)) + 1 < ascii(substr(b, d, 1))
+  THEN substr(a, 1, d - 1) || chr((ascii(substr(a, d, 1)) + 1)::INT) ELSE a END AS separator
+  FROM (SELECT p.page_id, p.url AS a, q.url AS b, list_min(list_filter(range(1, least(length(p.url), length(q.url)) + 1), lambda i: substr(p.url, i, 1) <> substr(q.url, i, 1)))::INT AS d
+  FROM pages p JOIN pages q ON q.page_id = p.page_id + 1)""")
+def shortest_separator(spark, sf_dir):
+    """URLs are ASCII, so SQL can say it in characters."""
+    made = ordering.separator_col(F.col("a").cast("binary"), F.col("b").cast("binary"))
+    return _neighbour_keys(spark, sf_dir).select("page_id", made.cast("string").alias("separator"))
+
+
+@query("SELECT page_id, chr(ascii(url) + 1) AS successor FROM pages")
+def short_successor(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", ordering.successor_col(F.col("url").cast("binary")).cast("string").alias("successor"))
+
+
+@query()
+def internal_separator(spark, sf_dir):
+    ikey = lambda c: codec.internal_key_col(F.col(c).cast("binary"), F.lit(100).cast("long"), F.lit(1))
+    rows = _neighbour_keys(spark, sf_dir)
+    return rows.select("page_id", F.hex(ordering.separator_col(ikey("a"), ikey("b"), internal=True)).alias("separator"), F.hex(ordering.successor_col(ikey("a"), internal=True)).alias("successor"))
+
+
+# ---- the record log ----
+
+
+def _logged(spark, sf_dir) -> str:
+    """A folder of logs with one record for each event."""
+    record_log.register(spark)
+    path = _scratch(spark, "log")
+    body = F.concat_ws(":", F.col("event_id").cast("string"), F.repeat(F.col("props"), (F.col("event_id") % 7).cast("int")))
+    rows = _events(spark, sf_dir).select(body.cast("binary").alias("payload"))
+    rows.write.format("record_log").mode("append").save(path)
+    return path
+
+
+_RECORD = "concat_ws(':', event_id::VARCHAR, repeat(props, (event_id % 7)::INT))"
+
+
+@query(f"SELECT {_RECORD} AS payload FROM events")
+def log_roundtrip(spark, sf_dir):
+    read = spark.read.format("record_log").option("splitBlocks", "2").load(_logged(spark, sf_dir))
+    return read.select(F.col("payload").cast("string").alias("payload"))
+
+
+@query()
+def log_read_from_offset(spark, sf_dir):
+    read = spark.read.format("record_log").option("initialOffset", "40000").load(_logged(spark, sf_dir))
+    return read.select(F.col("payload").cast("string").alias("payload"))
+
+
+@query("SELECT 0::BIGINT AS files_with_loss")
+def log_corruption_report(spark, sf_dir):
+    """A log that was written whole reports nothing; tests damage logs."""
+    read = spark.read.format("record_log").option("mode", "corruptions").load(_logged(spark, sf_dir))
+    return read.agg(F.count_distinct("path").alias("files_with_loss"))
+
+
+# ---- file names ----
+
+
+@query(r"""WITH n AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN event_id || '.log' WHEN 1 THEN 'MANIFEST-' || event_id WHEN 2 THEN event_id || '.ldb'
+  WHEN 3 THEN event_id || '.lop' WHEN 4 THEN '1844674407370955161' || (event_id % 10) || '.sst' ELSE 'LOG.old' END AS name FROM events),
+  p AS (SELECT id, name, CASE WHEN name = 'LOG.old' THEN '0' WHEN regexp_full_match(name, 'MANIFEST-[0-9]+') THEN substr(name, 10)
+  WHEN regexp_full_match(name, '[0-9]+\.(log|sst|ldb|dbtmp)') THEN split_part(name, '.', 1) END AS digits FROM n)
+  SELECT id, name, CASE WHEN digits::HUGEINT < 18446744073709551616::HUGEINT THEN digits::HUGEINT::VARCHAR END AS number,
+  CASE WHEN digits::HUGEINT < 18446744073709551616::HUGEINT THEN CASE WHEN name = 'LOG.old' THEN 'info_log' WHEN name LIKE 'MANIFEST%' THEN 'descriptor'
+  WHEN name LIKE '%.log' THEN 'log' ELSE 'table' END END AS file_type FROM p""")
+def parse_file_name(spark, sf_dir):
+    i = F.col("id").cast("string")
+    kind = F.col("id") % 6
+    name = F.when(kind == 0, F.concat(i, F.lit(".log"))).when(kind == 1, F.concat(F.lit("MANIFEST-"), i)).when(kind == 2, F.concat(i, F.lit(".ldb"))).when(kind == 3, F.concat(i, F.lit(".lop")))
+    name = name.when(kind == 4, F.concat(F.lit("1844674407370955161"), (F.col("id") % 10).cast("string"), F.lit(".sst"))).otherwise(F.lit("LOG.old"))
+    rows = _ids(spark, sf_dir).withColumn("name", name).withColumn("p", naming.parse_col(F.col("name")))
+    return rows.select("id", "name", F.col("p.number").cast("string").alias("number"), F.col("p.file_type").alias("file_type"))
+
+
+@query("""SELECT event_id + 1 AS id, printf('db/%06d.log', event_id + 1) AS log_file, printf('db/%06d.ldb', event_id + 1) AS table_file,
+  printf('db/%06d.sst', event_id + 1) AS old_table_file, 'db/MANIFEST-' || (event_id + 1) AS descriptor_file, printf('db/%06d.dbtmp', event_id + 1) AS temp_file FROM events""")
+def make_file_name(spark, sf_dir):
+    made = {"log_file": "log", "table_file": "ldb", "old_table_file": "sst", "descriptor_file": "MANIFEST", "temp_file": "dbtmp"}
+    return _ids(spark, sf_dir).select((F.col("id") + 1).alias("id"), *[naming.numbered_col("db", F.col("id") + 1, s).alias(n) for n, s in made.items()])
+
+
+# ---- the store (intent) ----
+
+
+@query(f"""WITH {V} SELECT user_key, seq + 1 AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, type DESC) AS rn
+  FROM V) WHERE rn = 1 AND type = 1 AND user_key <> '7' UNION ALL SELECT 'put key', max(seq) + 2, 'put value' FROM V""")
+def store_put_get_delete(spark, sf_dir):
+    with Store.open(spark, _scratch(spark, "store")) as store:
+        store.ingest(_ops(spark, sf_dir))
+        store.put(b"put key", b"put value")
+        store.delete(b"7")
+        live_rows = store.snapshot()
+    return live_rows.select(F.col("user_key").cast("string").alias("user_key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT 'a' AS user_key, 3::BIGINT AS seq, 'two' AS value UNION ALL SELECT 'c', 5, 'three'")
+def store_recover_from_log(spark, sf_dir):
+    """Batches that reached the log but not the table are there after the store is opened again."""
+    path = _scratch(spark, "store")
+    with Store.open(spark, path) as store:
+        store.write(batch.WriteBatch().put(b"a", b"one").put(b"b", b"x"))
+        for later in (batch.WriteBatch([(b"a", b"two"), (b"b", None)], 3), batch.WriteBatch([(b"c", b"three")], 5)):
+            store._writer.add(later.contents())
+        store._log.flush()
+    with Store.open(spark, path) as store:
+        found = store.snapshot()
+    return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+# ---- extensions ----
+
+
+@query(f"""WITH {V}, L AS (SELECT user_key, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, type DESC) AS rn FROM V WHERE seq <= 5000)
+  WHERE rn = 1 AND type = 1) SELECT e.event_type, count(*) AS live_keys, max(L.seq) AS newest FROM L JOIN events e ON e.event_id = L.seq GROUP BY 1""")
+def ext_snapshot_aggregate(spark, sf_dir):
+    live_rows = snapshot_at(spark, sf_dir)
+    return live_rows.join(_events(spark, sf_dir), F.col("seq") == F.col("event_id")).groupBy("event_type").agg(F.count(F.lit(1)).alias("live_keys"), F.max("seq").alias("newest"))
+
+
+@query(f"""WITH {V}, L AS (SELECT user_key, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, type DESC) AS rn FROM V)
+  WHERE rn = 1 AND type = 1) SELECT c.c_name, L.seq FROM L JOIN customer c ON c.c_custkey::VARCHAR = L.user_key""")
+def ext_snapshot_join(spark, sf_dir):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("user_key"), "c_name")
+    return snapshot_latest(spark, sf_dir).join(customer, "user_key").select("c_name", "seq")
+
+
+@query(f"WITH {V} SELECT user_key, max(seq) AS seq, arg_max(type, seq) AS type FROM V GROUP BY 1")
+def ext_newest(spark, sf_dir):
+    """The batch form of the streaming view."""
+    return live.newest(_versions(spark, sf_dir).df).select("user_key", "seq", "type")
