@@ -9,8 +9,11 @@ a setting, and no bucket is ever expanded into pairs: a class has at most ``NEAR
 candidates in each tree. Sorting is by range, so a crowded prefix is spread over tasks.
 
 Candidates whose sizes or one-bit sketches rule the similarity out are dropped; all others are
-compared on their full sets, in two rounds: first each class with its least candidate, then the
-candidates that the first round left in different components. Components then join all links.
+compared on their full sets. The first round compares each class with its least candidate. After
+each round the links found are joined to components, and what is still apart goes on: the
+candidates themselves, and each class with the hubs of its candidate's component (the classes
+with most links there), which finds the members of a large family of copies whose neighbours in
+the trees are all just too far. Rounds end when one finds no new link.
 
 The empty set (null or empty text, or only white space) is linked with nothing. Rows with the
 same id are one document: a link of one links all. Rows with a null id are returned, linked
@@ -20,7 +23,7 @@ with nothing. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import map_texts, stage, text_of, unstage
@@ -30,7 +33,9 @@ TREES = 20
 #: Signature values that neighbours must share at least, and values that go on ordering them.
 SHORTEST, DEEPER = 4, 8
 #: Neighbours on one side that become candidates.
-NEAR = 3
+NEAR = 2
+#: Hubs of a component.
+HUBS = 8
 SKETCH_BITS = 128
 #: Sketch bits that may differ: 4.5 standard deviations beyond what similarity 0.8 gives.
 SKETCH_SLACK = 28
@@ -180,6 +185,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, partitions: int) -
     """
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m")).select("a", F.ceil(F.col("_m") / GROUP).cast("int").alias("_parts"))
     dealt = pairs.join(many, "a").withColumn("_part", F.pmod(F.hash("b"), F.col("_parts"))).select("a", "b", "_part")
+    # Sorted joins at every size: what is small here isn't small for certain on larger inputs.
+    texts = texts.hint("merge")
     children = dealt.join(texts, dealt["b"] == texts["id"]).select("a", "_part", F.lit(1).alias("_child"), "b", "text")
     parents = dealt.select("a", "_part").distinct().join(texts, F.col("a") == texts["id"]).select("a", "_part", F.lit(0).alias("_child"), F.col("a").alias("b"), "text")
     rows = children.unionByName(parents).repartition(partitions, "a", "_part").sortWithinPartitions("a", "_part", "_child", "b")
@@ -222,15 +229,31 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
     chosen = sets.join(classes.withColumnsRenamed({c: f"_{c}" for c in names}), (F.col("id") == F.col("rep")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n"))).select("id", "n", "sketch", "orders")
     pairs = stage(candidates(chosen, partitions), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stage(plain.filter("id is not null").join(nodes, "id", "left_semi"), "texts")
-    # Round 1: each class with its least candidate. Round 2: candidates still apart.
-    firsts = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(confirmed(firsts, texts, words, partitions), "links")
-    joined = components(links)
-    label = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    apart = pairs.join(firsts, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = stage(confirmed(apart, texts, words, partitions), "links")
-    found = components(links.unionByName(more))
+    texts = stage(plain.filter("id is not null").join(nodes.hint("merge"), "id", "left_semi"), "texts")
+    wanted = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = tried = None
+    apart, depth = pairs, 0
+    while True:
+        asked = stage(wanted, "asked")
+        new = stage(confirmed(asked, texts, words, partitions), "links")
+        fresh = new.limit(1).count() > 0
+        tried = asked if tried is None else tried.unionByName(asked)
+        links = new if links is None else links.unionByName(new)
+        if not fresh and depth == HUBS:
+            break
+        depth = HUBS if depth or not fresh else 1
+        found = stage(components(links), "components")
+        ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
+        # the rank's limit is applied within tasks before rows are dealt by component
+        top = Window.partitionBy("component").orderBy(F.desc("_links"), "node")
+        hubs = stage(found.join(ends, "node").withColumn("_rank", F.row_number().over(top)).filter(F.col("_rank") <= depth).select("component", F.col("node").alias("hub")), "hubs")
+        side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        apart = stage(apart.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)"), "apart")
+        seen = apart.select(F.col("a").alias("x"), F.col("cb").alias("component")).unionAll(apart.select(F.col("b").alias("x"), F.col("ca").alias("component"))).filter("component is not null").distinct()
+        hubbed = seen.join(hubs, "component").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
+        every = apart.select("a", "b").unionAll(hubbed).distinct()
+        wanted = every.join(tried, ["a", "b"], "left_anti")
+    found = components(links)
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("_component"))
     every = signed.select("id", *names)
     whole = every.join(of_class, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left")
