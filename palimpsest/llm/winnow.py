@@ -114,8 +114,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = ranged.groupBy("_range").agg(F.max_by("text", F.struct("doc_id", "_hash")).alias("text"))
     numbers = ranged.select("_range").distinct()
     order = Window.orderBy(F.desc("_range"))
-    highest = numbers.agg(F.max("_range").alias("_top"))
-    after = numbers.withColumn("_next", F.lead("_range").over(order)).crossJoin(F.broadcast(highest)).select(F.col("_range").alias("_before"), F.coalesce("_next", "_top").alias("_range"))
+    after = numbers.select(F.col("_range").alias("_before"), F.coalesce(F.lead("_range").over(order), F.max("_range").over(Window.partitionBy())).alias("_range"))
     extra = firsts.join(after, "_range").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("_before").alias("_range"), F.lit(0).cast("long").alias("_hash"), F.lit(1).alias("_extra"))
     rows = packed(ranged.withColumn("_extra", F.lit(0)), "text", "fp").unionByName(packed(extra, "text", "fp"))
     w = Window.partitionBy("_range").orderBy("_extra", F.desc_nulls_last("doc_id"), F.desc("_hash"))
