@@ -32,3 +32,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not changed:
             unstage(edges)
             return labels.select("node", F.col("label").alias("component"))
+
+
+def extend(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, component`` once ``links`` (``a, b``) join what ``found`` (the same columns) holds already.
+
+    The links are lifted to the components of their ends, so only what is new is walked again:
+    a component that has grown large is one node here.
+    """
+    if found is None:
+        return components(links)
+    side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    lifted = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    lifted = stage(lifted.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "lifted")
+    upper = components(lifted.select("ca", "cb").filter("ca <> cb").distinct(), "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    ends = lifted.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionAll(lifted.select("b", "cb"))
+    every = found.unionByName(ends).distinct()
+    return every.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("component"))

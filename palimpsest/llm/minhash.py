@@ -15,9 +15,10 @@ candidates themselves, and each class with the hubs of its candidate's component
 with most links there), which finds the members of a large family of copies whose neighbours in
 the trees are all just too far. Rounds end when one finds no new link.
 
-The empty set (null or empty text, or only white space) is linked with nothing. Rows with the
-same id are one document: a link of one links all. Rows with a null id are returned, linked
-with nothing. Other columns are ignored.
+The empty set (null or empty text, or only white space) is linked with nothing. Rows that share
+an id each go by their own text; texts that share their least id are in one component. Rows
+with a null id are returned, linked with nothing. An empty table gives an empty result. Texts
+are read whole, whatever their length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import map_texts, stage, text_of, unstage
-from palimpsest.llm.graph import components
+from palimpsest.llm.graph import extend
 
 TREES = 20
 #: Signature values that neighbours must share at least, and values that go on ordering them.
@@ -231,7 +232,7 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = stage(plain.filter("id is not null").join(nodes.hint("merge"), "id", "left_semi"), "texts")
     wanted = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = tried = None
+    links = tried = found = None
     apart, depth = pairs, 0
     while True:
         asked = stage(wanted, "asked")
@@ -242,7 +243,10 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
         if not fresh and depth == HUBS:
             break
         depth = HUBS if depth or not fresh else 1
-        found = stage(components(links), "components")
+        if fresh or found is None:
+            old, found = found, stage(extend(found, new), "components")
+            if old is not None:
+                unstage(old)
         ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
         # the rank's limit is applied within tasks before rows are dealt by component
         top = Window.partitionBy("component").orderBy(F.desc("_links"), "node")
@@ -253,7 +257,6 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
         hubbed = seen.join(hubs, "component").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
         every = apart.select("a", "b").unionAll(hubbed).distinct()
         wanted = every.join(tried, ["a", "b"], "left_anti")
-    found = components(links)
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("_component"))
     every = signed.select("id", *names)
     whole = every.join(of_class, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left")
