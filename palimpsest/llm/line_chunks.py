@@ -13,8 +13,9 @@ back by hash with skew splitting.
 
 Null text stays null and counts as no chunk. The empty text is one empty line and never removed.
 Rows with equal id and text are one document here and treated alike: a chunk's first place in
-one is its first place in both. Text left without a line is the empty text. Other columns pass
-through; names that begin with ``_`` are reserved.
+one is its first place in both. Text left without a line is the empty text. An empty table gives an
+empty table. Other columns pass through whatever their names, but ``removed_chunks`` and
+``removed_lines`` are written anew.
 """
 
 from __future__ import annotations
@@ -80,8 +81,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     first = suspects.groupBy("_h", "_body").agg(F.min(place).alias("_first"))
     gone = suspects.join(first, ["_h", "_body"]).filter(place != F.col("_first"))
     per_doc = gone.groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone"))
-    whole = docs.withColumn("_key", F.xxhash64(text))
-    joined = whole.join(per_doc, whole[key].eqNullSafe(per_doc["_id"]) & (whole["_key"] == per_doc["_th"]), "left").drop("_id", "_th", "_key")
+    # The other columns travel in one, so that no name of theirs can clash.
+    others = [c for c in docs.columns if c != text]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(text).alias("_key"))
+    joined = whole.join(per_doc, whole["_k"].eqNullSafe(per_doc["_id"]) & (whole["_key"] == per_doc["_th"]), "left")
 
     def without(parts: Column) -> Column:
         kept = F.filter(parts, lambda c, i: ~F.array_contains("_gone", i))
@@ -91,13 +94,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     # Texts that lose nothing aren't cut again.
     touched = F.col("_gone").isNotNull()
-    done = joined.withColumn("_new", F.when(touched, let(chunks(F.col(text)), without)))
-    return (
-        done.withColumn(text, F.when(touched, F.col("_new.text")).otherwise(F.col(text)))
-        .withColumn("removed_chunks", F.when(touched, F.size("_gone")).otherwise(0).cast("long"))
-        .withColumn("removed_lines", F.coalesce("_new.lines", F.lit(0).cast("long")))
-        .drop("_gone", "_new")
-    )
+    done = joined.withColumn("_new", F.when(touched, let(chunks(F.col("_t")), without)))
+    made = {
+        text: F.when(touched, F.col("_new.text")).otherwise(F.col("_t")),
+        "removed_chunks": F.when(touched, F.size("_gone")).otherwise(0).cast("long"),
+        "removed_lines": F.coalesce("_new.lines", F.lit(0).cast("long")),
+    }
+    names = [*docs.columns, *[c for c in made if c not in docs.columns]]
+    return done.select(*[(made[c] if c in made else F.col("_row").getField(c)).alias(c) for c in names])
 
 
 def contract(docs: DataFrame) -> DataFrame:

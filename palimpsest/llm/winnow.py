@@ -34,9 +34,9 @@ RANGE_ROWS = 2_000
 QUANTILES = 64
 
 
-def _shifted(a: Column, by: int, least: int = 0) -> tuple[Column, Column]:
+def _shifted(a: Column, by: int) -> tuple[Column, Column]:
     """The array without its last ``by`` entries, and without its first."""
-    left = F.greatest(F.lit(least), F.size(a) - by)
+    left = F.greatest(F.lit(0), F.size(a) - by)
     return F.slice(a, F.lit(1), left), F.slice(a, F.lit(1 + by), left)
 
 
@@ -60,8 +60,9 @@ def packed(df: DataFrame, text: str, out: str) -> DataFrame:
     reach = 1
     while reach < WINDOW:
         step = min(reach, WINDOW - reach)
-        least = F.zip_with(*_shifted(F.col("_p"), step, 1), lambda x, y: F.least(x, F.coalesce(y, x)))
-        df = df.withColumn("_p", F.when(F.size("_p") > 1, least).otherwise(F.col("_p")))
+        least = F.zip_with(*_shifted(F.col("_p"), step), F.least)
+        # with too few grams for a window, the least of all is kept
+        df = df.withColumn("_p", F.when(F.size("_p") > step, least).when(F.size("_p") > 1, F.array(F.array_min("_p"))).otherwise(F.col("_p")))
         reach += step
     return df.withColumn(out, F.array_distinct("_p")).drop("_g", "_s", "_p")
 
