@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import text_of
+from palimpsest.llm.common import let, text_of
 
 KINDS = ("assign", "access", "hex")
 #: Base patterns in Java's syntax, the group to measure, its least length.
@@ -77,60 +77,87 @@ def _joined(spans: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct of the tests for one token: encoding, length, z scores, and -ln p against the null."""
-    n = F.length(token)
-    encoding = (
+    """Struct ``encoding, length, chi, runs, serial, evidence`` of one token; null for a word.
+
+    The three tests are about standard normal for random tokens; ``evidence`` is -ln p. Every
+    step is bound once by ``let``, so a token costs time in proportion to its length.
+    """
+    return let(token, lambda t: let(_encoding(t), lambda e: F.when(e != "word", let(_even(t, e), lambda c: let(_classes(t), lambda k: _tests(t, e, c, k))))))
+
+
+LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def _encoding(token: Column) -> Column:
+    return (
         F.when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), "hex")
         .when(token.rlike("^[A-Z2-7]+=*$") & token.rlike("[2-7]") & token.rlike("[A-Z]"), "base32")
         .when(token.rlike("^[A-Za-z0-9+/_-]+=*$") & token.rlike("[a-z]") & token.rlike("[A-Z]") & token.rlike("[0-9]"), "base64")
         .otherwise("word")
     )
-    size = F.when(encoding == "hex", 16).when(encoding == "base32", 32).otherwise(64)
+
+
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _even(token: Column, encoding: Column) -> Column:
+    """Places of the characters in the encoding's alphabet."""
     body = F.regexp_replace(token, "=+$", "")
-    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    alphabet = F.when(encoding == "hex", digit + "abcdef").when(encoding == "base32", upper + "234567").otherwise(upper + lower + digit + "+/")
+    alphabet = F.when(encoding == "hex", DIGIT + "abcdef").when(encoding == "base32", UPPER + "234567").otherwise(UPPER + LOWER + DIGIT + "+/")
     even = F.when(encoding == "hex", F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
-    codes = F.transform(F.filter(F.split(even, ""), lambda c: c != ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    classes = F.filter(F.split(F.translate(body, lower + upper + digit + "-_+/", "a" * 26 + "A" * 26 + "0" * 10), ""), lambda c: c != "")
-    return F.struct(encoding.alias("encoding"), n.alias("length"), size.cast("double").alias("size"), codes.alias("codes"), classes.alias("classes"))
-
-
-def _scores(tokens: DataFrame) -> DataFrame:
-    """Adds ``chi, runs, serial`` (about standard normal for random tokens) and ``evidence`` = -ln p."""
-    t = tokens.withColumn("n", F.size("codes").cast("double"))
-    counts = F.transform(F.array_distinct("codes"), lambda c: F.pow(F.size(F.filter("codes", lambda x: x == c)).cast("double"), F.lit(2.0)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    t = t.withColumn("_chi", F.col("size") / F.col("n") * total(counts) - F.col("n")).withColumn("chi", (F.col("_chi") - (F.col("size") - 1)) / F.sqrt(2 * (F.col("size") - 1)))
-    pairs = F.arrays_zip(F.slice("codes", F.lit(1), F.size("codes") - 1).alias("a"), F.slice("codes", 2, F.size("codes")).alias("b"))
-    middle = (F.col("size") - 1) / 2
-    above = total(F.transform("codes", lambda c: F.when(c > middle, 1.0).otherwise(0.0)))
-    turns = total(F.transform(pairs, lambda p: F.when((p["a"] > middle) != (p["b"] > middle), 1.0).otherwise(0.0)))
-    t = t.withColumn("_above", above).withColumn("_below", F.col("n") - F.col("_above")).withColumn("_turns", turns)
-    expected = 2 * F.col("_above") * F.col("_below") / F.col("n")
-    spread = F.sqrt(F.greatest(F.lit(0.25), expected * (expected - 1) / (F.col("n") - 1)))
-    t = t.withColumn("runs", (F.col("_turns") - expected) / spread)
-    mean = total("codes") / F.col("n")
-    t = t.withColumn("_mean", mean)
-    var = total(F.transform("codes", lambda c: (c - F.col("_mean")) * (c - F.col("_mean"))))
-    cov = total(F.transform(pairs, lambda p: (p["a"] - F.col("_mean")) * (p["b"] - F.col("_mean"))))
-    t = t.withColumn("serial", F.when(var > 0, cov / var * F.sqrt(F.col("n"))).otherwise(F.sqrt("n")))
-    steps = F.arrays_zip(F.slice("classes", F.lit(1), F.size("classes") - 1).alias("a"), F.slice("classes", 2, F.size("classes")).alias("b"))
-    t = t.withColumn("_changes", total(F.transform(steps, lambda p: F.when((p["a"] != p["b"]) & ~((p["a"] == "A") & (p["b"] == "a")), 1.0).otherwise(0.0))))
+    return F.transform(_letters(even), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
+
+
+def _classes(token: Column) -> Column:
+    """a, A or 0 for each letter or digit; separators are left out."""
+    return _letters(F.translate(F.regexp_replace(token, "=+$", ""), LOWER + UPPER + DIGIT + "-_+/", "a" * 26 + "A" * 26 + "0" * 10))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _neighbours(values: Column) -> Column:
+    return F.arrays_zip(F.slice(values, F.lit(1), F.size(values) - 1).alias("a"), F.slice(values, 2, F.size(values)).alias("b"))
+
+
+def _tests(token: Column, encoding: Column, codes: Column, classes: Column) -> Column:
+    size = F.when(encoding == "hex", 16.0).when(encoding == "base32", 32.0).otherwise(64.0)
+    n = F.size(codes).cast("double")
+    counts = F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0)))
+    chi = (size / n * _total(counts) - n - (size - 1)) / F.sqrt(2 * (size - 1))
+    middle = (size - 1) / 2
+
+    def runs(above: Column) -> Column:
+        expected = 2 * above * (n - above) / n
+        spread = F.sqrt(F.greatest(F.lit(0.25), expected * (expected - 1) / (n - 1)))
+        turns = _total(F.transform(_neighbours(codes), lambda p: F.when((p["a"] > middle) != (p["b"] > middle), 1.0).otherwise(0.0)))
+        return (turns - expected) / spread
+
+    def serial(mean: Column) -> Column:
+        cov = _total(F.transform(_neighbours(codes), lambda p: (p["a"] - mean) * (p["b"] - mean)))
+        return let(_total(F.transform(codes, lambda c: (c - mean) * (c - mean))), lambda var: F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.sqrt(n)))
+
+    changes = _total(F.transform(_neighbours(classes), lambda p: F.when((p["a"] != p["b"]) & ~((p["a"] == "A") & (p["b"] == "a")), 1.0).otherwise(0.0)))
     # Chernoff's bound on the binomial tail: n * KL(observed rate || null rate).
-    q = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("_changes") / (F.col("n") - 1)))
-    bound = (F.col("n") - 1) * (q * F.log(q / CHANGE_RATE) + (1 - q) * F.log((1 - q) / (1 - CHANGE_RATE)))
-    return t.withColumn("evidence", F.when(q > CHANGE_RATE, bound).otherwise(0.0))
+    evidence = let(
+        F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), changes / (n - 1))),
+        lambda q: F.when(q > CHANGE_RATE, (n - 1) * (q * F.log(q / CHANGE_RATE) + (1 - q) * F.log((1 - q) / (1 - CHANGE_RATE)))).otherwise(0.0),
+    )
+    above = _total(F.transform(codes, lambda c: F.when(c > middle, 1.0).otherwise(0.0)))
+    made = F.struct(encoding.alias("encoding"), F.length(token).alias("length"), chi.alias("chi"), let(above, runs).alias("runs"), let(_total(codes) / n, serial).alias("serial"), evidence.alias("evidence"))
+    return F.when(n >= 16, made)
 
 
 def random_tokens(docs: DataFrame, key: list[str], text: str, base: str) -> DataFrame:
     """``key`` and struct (start, end, kind='random') of the tokens that pass; ``base`` are the base spans."""
-    spans = _located(F.col(text), TOKEN, "random")
-    apart = F.filter(spans, lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = docs.select(*key, text, F.explode(F.when(F.col(text).rlike(TOKEN), apart)).alias("_span"))
-    token = F.substring(F.col(text), F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start"))
-    tests = rows.withColumn("_test", battery(token)).filter("_test.encoding <> 'word' and size(_test.codes) >= 16")
-    scored = _scores(tests.select(*key, "_span", "_test.*"))
-    fit = scored.filter("chi < 3.5 and abs(runs) < 3.5 and abs(serial) < 3.5")
+    apart = lambda spans, taken: F.filter(spans, lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    tested = lambda s: F.struct(s.alias("span"), battery(F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])).alias("test"))
+    # Tests run inside the generator, below which no later filter can be pushed and so repeat them.
+    made = F.when(F.col(text).rlike(TOKEN), let(F.col(base), lambda taken: F.transform(apart(_located(F.col(text), TOKEN, "random"), taken), tested)))
+    scored = docs.select(*key, F.explode_outer(made).alias("_made")).select(*key, F.col("_made.span").alias("_span"), "_made.test.*")
+    fit = scored.filter("evidence is not null and chi < 3.5 and abs(runs) < 3.5 and abs(serial) < 3.5")
     stratum = F.lit(0)
     for edge in LENGTHS:
         stratum = stratum + F.when(F.col("length") >= edge, 1).otherwise(0)

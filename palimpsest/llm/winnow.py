@@ -60,7 +60,7 @@ def packed(df: DataFrame, text: str, out: str) -> DataFrame:
     reach = 1
     while reach < WINDOW:
         step = min(reach, WINDOW - reach)
-        least = F.zip_with(*_shifted(F.col("_p"), step), F.least)
+        least = F.zip_with(*_shifted(F.col("_p"), step), lambda x, y: F.least(x, y))
         # with too few grams for a window, the least of all is kept
         df = df.withColumn("_p", F.when(F.size("_p") > step, least).when(F.size("_p") > 1, F.array(F.array_min("_p"))).otherwise(F.col("_p")))
         reach += step
