@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -108,12 +109,10 @@ def test_language_edges(docs, rows, none):
     und = {r.doc_id for r in got if r.lang_pred == "und"}
     assert und == {i for i, t, *_ in rows if not any(map(str.isalpha, t or ""))}
     assert lang_id.predict(none).count() == 0
-    assert {r.lang_pred for r in lang_id.predict(docs.withColumn("lang", docs["lang"].substr(9, 1).cast("int").cast("string"))).collect()} == {"und"}
+    assert {r.lang_pred for r in lang_id.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
 def test_language_spans_of_mixed_text(spark):
-    from pyspark.sql import functions as F
-
     texts = [("a", "the house is on the hill and the water runs down"), ("b", "дом стоит на горе и вода течёт вниз"), ("c", "das haus steht auf dem berg und wasser fliesst")]
     train = spark.createDataFrame([(t * 3, k) for k, t in texts], "text string, lang string")
     model = lang_id.fit(train, "text", "lang", F.lit(1))
