@@ -5,15 +5,22 @@ member of each goes on. A class's signature is laid out in several orders ("tree
 sorts all signatures, and every class takes as candidates its neighbours in that order as long
 as they share at least the shortest prefix, and the first class of its prefix. Neighbours have
 the longest common prefixes, so crowded regions are matched deep and sparse ones shallow without
-a setting, and no bucket is ever expanded into pairs: a class has at most ``NEAR + 1``
-candidates in each tree. Sorting is by range, so a crowded prefix is spread over tasks.
+a setting, and a class has at most ``NEAR + 1`` candidates in each tree at first. Sorting is by
+range, so a crowded prefix is spread over tasks.
 
 Candidates whose sizes or one-bit sketches rule the similarity out are dropped; all others are
 compared on their full sets. The first round compares each class with its least candidate. After
 each round the links found are joined to components, and what is still apart goes on: the
 candidates themselves, and each class with the hubs of its candidate's component (the classes
 with most links there), which finds the members of a large family of copies whose neighbours in
-the trees are all just too far. Rounds end when one finds no new link.
+the trees are all just too far. These rounds end when one finds no new link.
+
+That is only the fast start. Every prefix that still holds more than one component is then
+compared in full: its rows are dealt in salted blocks, what isn't in the prefix's largest
+component also goes to every block, and each pair of different components that sizes and
+sketches leave possible is compared on the full sets, nearest sketches first, at last all of
+them. So two classes of similarity 0.8 or more that share a prefix in any tree end in one
+component, however crowded it is and wherever the ranges are cut.
 
 The empty set (null or empty text, or only white space) is linked with nothing. Rows that share
 an id each go by their own text; texts that share their least id are in one component. Rows
@@ -42,6 +49,10 @@ SKETCH_BITS = 128
 SKETCH_SLACK = 28
 #: Children of one parent that are compared by one task.
 GROUP = 500
+#: Rows of one prefix that are at home in one block, on average.
+BLOCK = 4096
+#: Partners (nearest sketches) that a class takes in each other component of its block, by round; the last takes all.
+WIDEN = (4, 64, None)
 _CACHE_WORDS = 300_000
 _U = np.uint64
 
@@ -178,6 +189,100 @@ def candidates(classes: DataFrame, partitions: int) -> DataFrame:
     return placed.mapInArrow(neighbours, "a long, b long").distinct()
 
 
+def prefixes(classes: DataFrame) -> DataFrame:
+    """``tree, prefix, id, n, sketch``: each class once in each tree."""
+    width = 1 + DEEPER // 4
+    every = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("orders", t * width))).alias("tree", "prefix")
+    return classes.select(every, "id", "n", "sketch")
+
+
+def crowded(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``rows`` (of :func:`prefixes`) whose prefix holds several components, with ``component``, the prefix's ``main`` one and its number of ``parts``."""
+    placed = rows.select("tree", "prefix", "id", "n", "sketch").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("tree", "prefix", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("tree", "prefix", "component").agg(F.count(F.lit(1)).alias("_n"))
+    split = sizes.groupBy("tree", "prefix").agg(F.sum("_n").alias("_rows"), F.max(F.struct("_n", "component")).alias("_top"), F.count(F.lit(1)).alias("_apart")).filter("_apart > 1")
+    split = split.select("tree", "prefix", F.col("_top.component").alias("main"), F.ceil(F.col("_rows") / BLOCK).cast("int").alias("parts"))
+    return placed.join(split.hint("merge"), ["tree", "prefix"])
+
+
+def across(rows: DataFrame, reach: int | None, partitions: int) -> DataFrame:
+    """Distinct pairs ``a < b`` of different components in one prefix of ``rows`` (of :func:`crowded`).
+
+    Each class takes its ``reach`` nearest partners in each other component of a block, or all.
+    """
+    home = F.pmod(F.hash("id"), F.col("parts"))
+    blocks = F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))
+    dealt = rows.select("tree", "prefix", F.explode(blocks).alias("block"), home.alias("home"), "id", "n", "sketch", "component", "main")
+    group = ["tree", "prefix", "block"]
+
+    def pairs(ids, n, sketch, component, main, at_home):
+        """The pairs of one block: rows at home against all outside the main component."""
+        own, loose = np.flatnonzero(at_home), np.flatnonzero(component != main)
+        step = max(1, 2_000_000 // max(1, len(own)))
+        for at in range(0, len(loose), step):
+            x, y = loose[at : at + step, None], own[None, :]
+            # two loose rows meet where the lesser is at home
+            ok = (component[x] != component[y]) & ((component[y] == main[y]) | (ids[y] < ids[x]))
+            ok &= 100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y])
+            i, j = np.nonzero(ok)
+            x, y = loose[at + i], own[j]
+            far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1)
+            ok = (far <= SKETCH_SLACK) & (ids[x] != ids[y])
+            x, y, far = x[ok], y[ok], far[ok]
+            if reach is not None and len(x):
+                order = np.lexsort((far, component[y], x))
+                x, y = x[order], y[order]
+                starts = np.r_[True, (x[1:] != x[:-1]) | (component[y[1:]] != component[y[:-1]])]
+                place = np.arange(len(x))
+                near = place - np.maximum.accumulate(np.where(starts, place, 0)) < reach
+                x, y = x[near], y[near]
+            yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+
+    def compare(batches):
+        import pyarrow as pa
+
+        held = None  # rows of the block that is still open
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("tree", "prefix", "block", "home", "id", "n", "component", "main")]
+            sketch = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sketch")).to_pylist()), dtype=_U).reshape(-1, SKETCH_BITS // 64)
+            rows = [*columns, sketch]
+            if held is None:
+                held = [[r] for r in rows]
+                continue
+            same = all(h[-1][-1] == r[0] for h, r in zip(held[:3], rows[:3], strict=True)) and all((r == r[0]).all() for r in rows[:3])
+            for h, r in zip(held, rows, strict=True):
+                h.append(r)
+            if same:
+                continue
+            held, done = rest(held)
+            for a, b in done:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        if held is not None:
+            for a, b in finished([np.concatenate(h) for h in held]):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def rest(held):
+        """The last block's rows, and the pairs of the blocks before it."""
+        rows = [np.concatenate(h) for h in held]
+        last = len(rows[0]) - 1
+        open_from = np.flatnonzero(np.any([r[:-1] != r[1:] for r in rows[:3]], axis=0))
+        cut = int(open_from[-1]) + 1 if len(open_from) else 0
+        return [[r[cut : last + 1]] for r in rows], finished([r[:cut] for r in rows])
+
+    def finished(rows):
+        tree, prefix, block, home, ids, n, component, main, sketch = rows
+        if not len(ids):
+            return
+        edges = np.flatnonzero((tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]) | (block[1:] != block[:-1])) + 1
+        for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, len(ids)].tolist(), strict=True):
+            yield from pairs(ids[a:b], n[a:b], sketch[a:b], component[a:b], main[a:b], home[a:b] == block[a:b])
+
+    placed = dealt.repartition(partitions, *group).sortWithinPartitions(*group)
+    return placed.mapInArrow(compare, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, partitions: int) -> DataFrame:
     """The pairs whose full sets have similarity 0.8 or more; ``texts`` has ``id, text``.
 
@@ -257,6 +362,25 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
         hubbed = seen.join(hubs, "component").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
         every = apart.select("a", "b").unionAll(hubbed).distinct()
         wanted = every.join(tried, ["a", "b"], "left_anti")
+    # What is still apart in a shared prefix is compared there.
+    rows = prefixes(chosen)
+    for reach in WIDEN:
+        rows, old = stage(crowded(rows, found), "crowded"), rows
+        unstage(old)
+        met = stage(across(rows, reach, partitions), "met")
+        if not met.limit(1).count():
+            break
+        asked = stage(met.join(tried, ["a", "b"], "left_anti"), "asked")
+        unstage(met)
+        ends = asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))).distinct()
+        near = stage(plain.filter("id is not null").join(ends.hint("merge"), "id", "left_semi"), "texts")
+        new = stage(confirmed(asked, near, words, partitions), "links")
+        unstage(near)
+        tried = tried.unionByName(asked)
+        if new.limit(1).count():
+            old, found = found, stage(extend(found, new), "components")
+            unstage(old)
+    unstage(rows)
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("_component"))
     every = signed.select("id", *names)
     whole = every.join(of_class, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left")

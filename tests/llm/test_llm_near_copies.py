@@ -34,6 +34,18 @@ def test_minhash_finds_a_chained_family(spark):
     assert got == {k: c for (k, _), (_, c) in want.items()}
 
 
+def test_minhash_links_pairs_in_a_crowded_prefix(spark, monkeypatch):
+    # All texts share a template (similarity 0.7); only the planted pairs are above 0.8.
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    template = " ".join(f"t{i}" for i in range(70))
+    crowd = [(i, f"{template} " + " ".join(f"u{i}x{j}" for j in range(15))) for i in range(160)]
+    crowd += [(1000 + i, f"{template} " + " ".join(f"u{i}x{j}" if j < 8 else f"v{i}x{j}" for j in range(15))) for i in range(0, 160, 2)]
+    want = brute.near_groups(crowd, 1)
+    got = {r.doc_id: r.component_id for r in minhash.cluster(spark.createDataFrame(crowd, "doc_id long, text string"), words=1).collect()}
+    assert got == {k: c for (k, _), (_, c) in want.items()}
+    assert sum(k != c for k, c in got.items()) == 80
+
+
 def test_minhash_empty_table(none):
     df = minhash.cluster(none, words=4)
     assert df.columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"] and df.count() == 0
