@@ -35,7 +35,8 @@ BASE = {
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
 #: Tokens that the battery looks at, and the false-discovery rate.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: A sign ``=`` is padding at a token's end or parts a name from its value; it never stands inside.
+TOKEN = r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]{16,}+=*+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{20,}+"
 FDR = 0.05
 #: Rate of class changes between neighbouring characters that the null allows.
 CHANGE_RATE = 0.2

@@ -96,6 +96,20 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert hits >= 27 and not any("random" in got[i] for i in range(100, 105))
 
 
+def test_random_values_after_a_name_are_found(spark):
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(30)]
+    # the same keys, once apart from the name and once joined to it
+    rows = [(i, f"AWS_KEY {k} end") for i, k in enumerate(keys)] + [(100 + i, f"AWS_KEY={k} end") for i, k in enumerate(keys)]
+    # padding still counts towards a token's length
+    rows += [(200 + i, f"AWS_KEY={k[:18]}== end") for i, k in enumerate(keys)]
+    got = {r.doc_id: r.spans for r in secrets.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(30)] == [got[i] for i in range(30)]
+    assert sum(got[100 + i] == "random:8:48" for i in range(30)) >= 20
+    assert any(got[200 + i] == "random:8:28" for i in range(30))
+
+
 def test_language_held_out(spark, sf):
     docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
     got = lang_id.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
