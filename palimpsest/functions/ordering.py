@@ -12,7 +12,7 @@ from palimpsest.functions.codec import MAX_SEQUENCE, VALUE, internal_key, parse_
 
 
 class KeyOrder(Protocol):
-    """An order of user keys. ``sort_key`` maps a key to bytes whose plain order is this order."""
+    """An order of user keys. ``sort_key`` maps a key to a value whose plain order is this order."""
 
     name: str
 
@@ -58,8 +58,8 @@ class Reversed(Bytewise):
         return (a < b) - (a > b)
 
     def sort_key(self, key: Column) -> Column:
-        # complement of each byte, closed by a mark above all complements
-        return F.concat(F.unhex(F.translate(F.hex(key), "0123456789ABCDEF", "FEDCBA9876543210")), F.unhex(F.lit("FFFF")))
+        # complement of each byte as hexadecimal text, closed by a character above all digits, so that a prefix comes after what extends it
+        return F.concat(F.translate(F.hex(key), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
 
     def separator(self, start: bytes, limit: bytes) -> bytes:
         return start
@@ -84,6 +84,10 @@ class InternalOrder:
         """Sort columns for a version table; never a packed tag, which has the sign bit."""
         return [self.user.sort_key(F.col(key)).asc(), F.col(seq).desc(), F.col(kind).desc()]
 
+    def ascending(self, key: str = "user_key", seq: str = "seq", kind: str = "type") -> list[Column]:
+        """Values whose ascending order is this order."""
+        return [self.user.sort_key(F.col(key)), -F.col(seq), -F.col(kind)]
+
     def _shortened(self, key: bytes, made: bytes, user: bytes) -> bytes:
         if len(made) < len(user) and self.user.compare(user, made) < 0:
             return internal_key(made, MAX_SEQUENCE, VALUE)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.codec import DELETION, MAX_SEQUENCE, VALUE
 from palimpsest.functions.ordering import InternalOrder
+from palimpsest.operators import ranges
 
 ABSENT, FOUND, DELETED = "ABSENT", "FOUND", "DELETED"
 SCHEMA = "user_key binary, seq bigint, type int, value binary"
@@ -49,6 +50,10 @@ class VersionTable:
     def _tie(self) -> list[Column]:
         return [F.col("ingest_id").desc()] if "ingest_id" in self.df.columns else []
 
+    @property
+    def _later(self) -> list[Column]:
+        return [-F.col("ingest_id")] if "ingest_id" in self.df.columns else []
+
     def _sorted(self, df: DataFrame, up: bool = True) -> DataFrame:
         forward = [*self.order.columns(), *self._tie]
         if up:
@@ -164,19 +169,12 @@ class VersionTable:
             out = out & (sort(F.col("user_key")) < sort(F.lit(high).cast(kind)))
         return out
 
-    def neighbours(self) -> DataFrame:
-        """Each entry with the internal keys before and after it (null at the ends).
+    def numbered(self, name: str = "place") -> DataFrame:
+        """All entries with their place (from 1) in the order."""
+        return ranges.numbered(self.df, [*self.order.ascending(), *self._later], name)
 
-        Inside a key a window finds them; between keys only the table of first and last entries,
-        one row for each key, is put in one order.
-        """
-        within = Window.partitionBy("user_key").orderBy(F.desc("seq"), F.desc("type"), *self._tie)
-        entry = F.struct("user_key", "seq", "type")
-        keys = self.df.groupBy("user_key").agg(F.max(F.struct("seq", "type")).alias("_first"), F.min(F.struct("seq", "type")).alias("_last"))
-        across = Window.orderBy(self.order.user.sort_key(F.col("user_key")))
-        at = lambda side: F.struct("user_key", F.col(f"{side}.seq").alias("seq"), F.col(f"{side}.type").alias("type"))
-        edges = keys.select(F.col("user_key").alias("_key"), F.lag(at("_last")).over(across).alias("_before"), F.lead(at("_first")).over(across).alias("_after"))
-        rows = self.df.withColumn("_p", F.lag(entry).over(within)).withColumn("_n", F.lead(entry).over(within))
-        joined = rows.join(edges, rows["user_key"] == edges["_key"])
-        p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
-        return joined.select("user_key", "seq", "type", p["user_key"].alias("prev_key"), p["seq"].alias("prev_seq"), n["user_key"].alias("next_key"), n["seq"].alias("next_seq"))
+    def neighbours(self) -> DataFrame:
+        """Each entry with the internal keys before and after it (null at the ends)."""
+        rows = ranges.with_neighbours(self.df, [*self.order.ascending(), *self._later], F.struct("user_key", "seq", "type"))
+        p, n = F.col("_previous"), F.col("_next")
+        return rows.select("user_key", "seq", "type", p["user_key"].alias("prev_key"), p["seq"].alias("prev_seq"), n["user_key"].alias("next_key"), n["seq"].alias("next_seq"))

@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import checksum, codec, hashing, naming, ordering
@@ -126,10 +126,9 @@ _ORDER = "user_key, seq DESC, type DESC"
 
 @query(f"WITH {V} SELECT user_key, seq, type, coalesce(value, '') AS value, row_number() OVER (ORDER BY {_ORDER}) AS place FROM V")
 def history_ordered(spark, sf_dir):
-    # The place is only there so that the order can be checked; it needs all rows in one order.
-    table = _versions(spark, sf_dir)
-    place = F.row_number().over(Window.orderBy("user_key", F.desc("seq"), F.desc("type")))
-    return table.history().select("user_key", "seq", "type", F.coalesce("value", F.lit("")).alias("value"), place.alias("place"))
+    """The place is there so that the order can be checked; rows are numbered range by range."""
+    rows = _versions(spark, sf_dir).numbered()
+    return rows.select("user_key", "seq", "type", F.coalesce("value", F.lit("")).alias("value"), "place")
 
 
 @query(f"WITH {V} SELECT user_key, seq, type, value FROM V ORDER BY {_ORDER} LIMIT 1")
@@ -177,13 +176,18 @@ def range_scan_rev(spark, sf_dir):
     return _versions(spark, sf_dir).scan("20", "45", snap=5000, forward=False)
 
 
-@query(f"WITH {V} SELECT user_key, seq, type, row_number() OVER (ORDER BY user_key DESC, seq DESC, type DESC) AS place FROM V")
+_RAW_KEY = "encode(CASE seq % 4 WHEN 0 THEN user_key WHEN 1 THEN user_key || chr(0) WHEN 2 THEN user_key || chr(0) || 'b' ELSE user_key || chr(255) END)"
+
+
+@query(f"""WITH {V} SELECT hex(k) AS user_key, seq, type, row_number() OVER (ORDER BY k DESC, seq DESC, type DESC) AS place
+  FROM (SELECT *, {_RAW_KEY} AS k FROM V)""")
 def custom_order(spark, sf_dir):
-    """A descending key order, by its derived sort key."""
-    order = ordering.InternalOrder(ordering.Reversed())
-    rows = _versions(spark, sf_dir).df.withColumn("user_key", F.col("user_key").cast("binary"))
-    place = F.row_number().over(Window.orderBy(*order.columns()))
-    return rows.select(F.col("user_key").cast("string").alias("user_key"), "seq", "type", place.alias("place"))
+    """A descending key order by its derived sort key, over keys that extend each other by bytes 0 and above 127."""
+    kind = F.col("seq") % 4
+    nul = F.decode(F.unhex(F.lit("00")), "UTF-8")
+    key = F.when(kind == 0, F.col("user_key")).when(kind == 1, F.concat("user_key", nul)).when(kind == 2, F.concat("user_key", nul, F.lit("b"))).otherwise(F.concat("user_key", F.lit(chr(255))))
+    table = VersionTable(_versions(spark, sf_dir).df.withColumn("user_key", key.cast("binary")), ordering.InternalOrder(ordering.Reversed()))
+    return table.numbered().select(F.hex("user_key").alias("user_key"), "seq", "type", "place")
 
 
 # ---- write batches ----
