@@ -155,3 +155,46 @@ def test_winnowing_guarantee_and_empty(spark, none):
     found = [{e.hash for e in r.fingerprint} for r in winnow.fingerprints(df).collect()]
     assert set.intersection(*found)
     assert winnow.compare_edited(none).count() == 0
+
+
+def planted_vectors(dims, base, pairs, seed=3):
+    """Random vectors, and partners at cosines from 0.90 to 0.95 of some."""
+    rng = np.random.default_rng([seed, dims])
+    x = rng.standard_normal((base, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[rng.permutation(base)[:pairs]]
+    side = rng.standard_normal(y.shape)
+    side -= (side * y).sum(axis=1, keepdims=True) * y
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.95, (pairs, 1))
+    return np.r_[x, cos * y + np.sqrt(1 - cos**2) * side]
+
+
+def links_by_brute_force(x):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (x @ x.T >= 0.9).sum(axis=1) - 1
+
+
+@pytest.mark.parametrize("dims", [16, 64, 200])
+def test_embeddings_recall_on_planted_pairs(spark, dims):
+    x = planted_vectors(dims, 4000, 1500)
+    true = links_by_brute_force(x)
+    assert true.sum() >= 2 * 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in itq.similar(df).orderBy("vec_id").collect()])
+    print(f"recall at {dims} dimensions: {got.sum() / true.sum():.4f} of {true.sum() // 2} links")
+    assert (got <= true).all() and got.sum() >= 0.95 * true.sum()
+
+
+def test_embeddings_of_every_length_and_scale(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1.0, 1.0]), (4, [1e-310, 1e-310]), (5, [1.0, -1.0]), (6, [1.0, 1.0, 1.0]), (7, [2.0, 2.0, 2.1]), (8, [3.0]), (9, [-3.0]), (10, [7.0])]
+    rows += [(100 + i, np.eye(40)[i % 40].tolist()) for i in range(80)]  # the common length
+    rows += [(5, [1.0, -1.001]), (5, [1.0, -1.001])]  # an id that repeats
+    got = {}
+    for r in itq.similar(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    assert {i: got[i] for i in (1, 2, 3, 4)} == {i: [(3, 1)] for i in (1, 2, 3, 4)}
+    assert got[5] == [(2, 5)] * 3
+    assert got[6] == [(1, 6)] and got[7] == [(1, 6)]
+    assert got[8] == [(1, 8)] and got[9] == [(0, 9)] and got[10] == [(1, 8)]
+    assert all(got[100 + i] == [(1, 100 + i % 40)] for i in range(80))
