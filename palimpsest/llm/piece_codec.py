@@ -9,6 +9,11 @@ Merging all pairs of the least rank together equals the one-at-a-time order only
 can create a pair of equal or lesser rank. The model is checked for that when it is loaded:
 products that can are merged one (the leftmost) per round.
 
+Every round touches a whole word, so a long run without a space would cost the square of its
+length. Words of more than :data:`LONG_WORD` characters are therefore first cut where no piece
+holds the two characters next to each other, which no merge can bridge; parts that are still
+longer take their merges from a heap, in time proportional to their length and its logarithm.
+
 A piece never holds a space mark after another character, so a text splits exactly at each
 run of marks; words are encoded once and kept in a bounded cache.
 
@@ -19,6 +24,7 @@ is returned, repeated rows too. Columns other than the id and the text are ignor
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from functools import lru_cache
 
@@ -30,7 +36,9 @@ from palimpsest.llm.common import map_texts, text_of
 
 MARK = "▁"
 #: Words kept by one Python worker between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Characters from which a word is cut, and its parts are merged by a heap.
+LONG_WORD = 400
 #: Characters of new words encoded in one set of rounds.
 BLOCK_CHARS = 2_000_000
 _NONE = np.int64(1) << 40
@@ -87,6 +95,9 @@ class PieceCodec:
         self.key, self.product, self.rank = key[at], np.array(product, dtype=np.int64)[at], np.array(ranks, dtype=np.int64)[at]
         self.unsafe = np.zeros(max(order.values(), default=0) + 2, dtype=bool)
         self.unsafe[list(unsafe)] = True
+        inside = {single[0] * (1 << 21) + single[1] for p in normal for single in zip([self.single.get(c, -1) for c in p], [self.single.get(c, -1) for c in p[1:]])}
+        self.inside = np.array(sorted(k for k in inside if k >= 0), dtype=np.int64)
+        self.merges: dict[int, tuple[int, int]] = {}
         self.cache: dict[str, bytes] = {}
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -165,8 +176,55 @@ class PieceCodec:
         raw_ids = symbols.astype("<u4").tobytes()
         return [raw_ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
+    def _long(self, word: str) -> bytes:
+        """Ids of a long word: cut where nothing merges, short parts by rounds and long ones by a heap."""
+        ids = np.array([self.single.get(c, -1) for c in word], dtype=np.int64)
+        pair = ids[:-1] * self.base + ids[1:]
+        row = np.minimum(np.searchsorted(self.inside, pair), self.inside.size - 1)
+        cuts = np.flatnonzero((self.inside[row] != pair) | (ids[:-1] < 0) | (ids[1:] < 0)) + 1
+        edges = [0, *cuts.tolist(), len(word)]
+        parts = [word[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        short = list({p for p in parts if len(p) <= LONG_WORD})
+        coded, begin, chars = {}, 0, 0
+        for k, part in enumerate(short):
+            chars += len(part)
+            if chars >= BLOCK_CHARS or k == len(short) - 1:
+                coded |= zip(short[begin : k + 1], self._rounds(short[begin : k + 1]), strict=True)
+                begin, chars = k + 1, 0
+        return b"".join([coded[p] if len(p) <= LONG_WORD else self._heaped(p) for p in parts])
+
+    def _heaped(self, word: str) -> bytes:
+        """Ids of a word of known characters, one merge at a time: least rank first, leftmost of equal ones."""
+        if not self.merges:
+            self.merges = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.product.tolist(), strict=True), strict=True))
+        merges, base = self.merges, int(self.base)
+        symbols = [self.single[c] for c in word]
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i, symbols[i], symbols[i + 1], m[1]) for i in range(n - 1) if (m := merges.get(symbols[i] * base + symbols[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right, product = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue
+            symbols[i], symbols[j] = product, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if m := merges.get(product * base + symbols[k]):
+                    heapq.heappush(heap, (m[0], i, product, symbols[k], m[1]))
+            h = before[i]
+            if h >= 0 and (m := merges.get(symbols[h] * base + product)):
+                heapq.heappush(heap, (m[0], h, symbols[h], product, m[1]))
+        return np.array([x for x in symbols if x >= 0], dtype="<u4").tobytes()
+
     def _learn(self, words: list[str]) -> None:
         """Encode new words in blocks of bounded size and put them into the cache."""
+        for word in words:
+            if len(word) > LONG_WORD:
+                self.cache[word] = self._long(word)
+        words = [w for w in words if len(w) <= LONG_WORD]
         begin, chars = 0, 0
         for k, word in enumerate(words):
             chars += len(word)
@@ -185,7 +243,11 @@ class PieceCodec:
         self._learn([w for w in fresh if w not in self.cache])
         first, last = (np.array([i], dtype="<u4").tobytes() for i in (self.bos, self.eos))
         get = self.cache.__getitem__
-        return [first + b"".join(map(get, p)) + last for p in pieces]
+        made = [first + b"".join(map(get, p)) + last for p in pieces]
+        for word in fresh:  # long words would make the cache's size depend on the texts
+            if len(word) > LONG_WORD:
+                del self.cache[word]
+        return made
 
     def decode(self, ids: bytes) -> str:
         """Text of ids given as little-endian unsigned 32-bit integers."""

@@ -242,3 +242,33 @@ def test_tokens_of_odd_strings():
         want = sp.encode(text, add_bos=True, add_eos=True)
         assert np.frombuffer(ids, dtype="<u4").tolist() == want, text
         assert tool.decode(ids) == sp.decode(want), text
+
+
+def test_tokens_of_long_words_equal_the_library():
+    import sentencepiece
+
+    model = registry.tokenizer_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    tool = piece_codec.PieceCodec(model)
+    rng = random.Random(8)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (399, 400, 401, 5_000)]
+    texts += ["".join(rng.choice("the in ABab01é中🙂-=_".replace(" ", "")) for _ in range(4_000)), "-" * 3_000, "=" * 2_999 + "x", "ab" * 2_000, "aab" * 1_500, "   " * 1_000, "▁" * 999]
+    texts += ["theinandof" * 300 + " short words " + "-=" * 700]
+    for t, ids in zip(texts, tool.encode_batch(texts), strict=True):
+        want = sp.encode(t, add_bos=True, add_eos=True)
+        assert list(np.frombuffer(ids, dtype="<u4")) == want, t[:40]
+        assert tool.decode(ids) == sp.decode(want)
+    assert not any(len(w) > piece_codec.LONG_WORD for w in tool.cache)
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABab01-=é中", "-", "ab"])
+def test_a_megabyte_without_a_space_is_encoded_in_seconds(letters):
+    import time
+
+    rng = random.Random(1)
+    text = "".join(rng.choices(letters, k=1_000_000))
+    tool, began = piece_codec.codec(registry.tokenizer_path()), time.perf_counter()
+    [ids] = tool.encode_batch([text])
+    assert tool.decode(ids) == text
+    assert time.perf_counter() - began < 60
