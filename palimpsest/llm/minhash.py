@@ -16,10 +16,11 @@ with most links there), which finds the members of a large family of copies whos
 the trees are all just too far. These rounds end when one finds no new link.
 
 That is only the fast start. Every prefix that still holds more than one component is then
-compared in full: its rows are dealt in salted blocks, what isn't in the prefix's largest
-component also goes to every block, and each pair of different components that sizes and
-sketches leave possible is compared on the full sets, nearest sketches first, at last all of
-them. So two classes of similarity 0.8 or more that share a prefix in any tree end in one
+compared in full: what isn't in its largest component, and the largest component, are each cut
+into salted blocks, and each pair of blocks meets in a task. Rows for which sizes and sketches
+leave a partner in another component possible get their full sets there, and intersections are
+counted for all of them. Never pairs but only the links that join two components leave a task, at most one
+for each row. So two classes of similarity 0.8 or more that share a prefix in any tree end in one
 component, however crowded it is and wherever the ranges are cut.
 
 The empty set (null or empty text, or only white space) is linked with nothing. Rows that share
@@ -49,11 +50,11 @@ SKETCH_BITS = 128
 SKETCH_SLACK = 28
 #: Children of one parent that are compared by one task.
 GROUP = 500
-#: Rows of one prefix that are at home in one block, on average.
-BLOCK = 4096
-#: Partners (nearest sketches) that a class takes in each other component of its block, by round; the last takes all.
-WIDEN = (4, 64, None)
-_CACHE_WORDS = 300_000
+#: Rows and shingles of one prefix that are at home in one block, on average.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: A class of more members than this is dealt to as many tasks as :data:`SALTS` when its members look it up.
+HOT_CLASS, SALTS = 1000, 64
+_CACHE_WORDS = 100_000
 _U = np.uint64
 
 
@@ -189,6 +190,44 @@ def candidates(classes: DataFrame, partitions: int) -> DataFrame:
     return placed.mapInArrow(neighbours, "a long, b long").distinct()
 
 
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``id, set`` (sorted 64-bit shingle hashes) of ``texts`` (``id, text``)."""
+
+    def make():
+        shingle = Shingler(words)
+        return lambda found: {"set": [shingle(t).tobytes() for t in found]}
+
+    return map_texts(texts, {"id": F.col("id")}, text_of("text"), make, "set binary")
+
+
+def _column(batch, name: str) -> np.ndarray:
+    return np.asarray(batch.column(batch.schema.get_field_index(name)))
+
+
+def _sketches(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=_U).reshape(-1, SKETCH_BITS // 64)
+
+
+def _groups(batches, keys: list[str]):
+    """Tables of the rows of sorted batches that have equal ``keys``, one after another."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([_column(batch, k).astype(np.int64) for k in keys], axis=1)
+        cuts = np.r_[0, np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, len(values)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if last is not None and not np.array_equal(values[a], last):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = values[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def prefixes(classes: DataFrame) -> DataFrame:
     """``tree, prefix, id, n, sketch``: each class once in each tree."""
     width = 1 + DEEPER // 4
@@ -196,122 +235,133 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return classes.select(every, "id", "n", "sketch")
 
 
-def crowded(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The ``rows`` (of :func:`prefixes`) whose prefix holds several components, with ``component``, the prefix's ``main`` one and its number of ``parts``."""
-    placed = rows.select("tree", "prefix", "id", "n", "sketch").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("tree", "prefix", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("tree", "prefix", "component").agg(F.count(F.lit(1)).alias("_n"))
-    split = sizes.groupBy("tree", "prefix").agg(F.sum("_n").alias("_rows"), F.max(F.struct("_n", "component")).alias("_top"), F.count(F.lit(1)).alias("_apart")).filter("_apart > 1")
-    split = split.select("tree", "prefix", F.col("_top.component").alias("main"), F.ceil(F.col("_rows") / BLOCK).cast("int").alias("parts"))
-    return placed.join(split.hint("merge"), ["tree", "prefix"])
+GROUP_KEYS = ["tree", "prefix", "i", "j"]
 
 
-def across(rows: DataFrame, reach: int | None, partitions: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of different components in one prefix of ``rows`` (of :func:`crowded`).
+def crowded(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``tree, prefix, i, j, side, id, n, sketch, component``: the ``rows`` (of :func:`prefixes`) whose prefix holds several components, in each pair of blocks that has theirs.
 
-    Each class takes its ``reach`` nearest partners in each other component of a block, or all.
+    Blocks of rows outside the prefix's largest component are numbered from 0 and meet each
+    other and the blocks of the largest one, numbered from -1 downwards; ``side`` is a row's own.
     """
-    home = F.pmod(F.hash("id"), F.col("parts"))
-    blocks = F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))
-    dealt = rows.select("tree", "prefix", F.explode(blocks).alias("block"), home.alias("home"), "id", "n", "sketch", "component", "main")
-    group = ["tree", "prefix", "block"]
-
-    def pairs(ids, n, sketch, component, main, at_home):
-        """The pairs of one block: rows at home against all outside the main component."""
-        own, loose = np.flatnonzero(at_home), np.flatnonzero(component != main)
-        step = max(1, 2_000_000 // max(1, len(own)))
-        for at in range(0, len(loose), step):
-            x, y = loose[at : at + step, None], own[None, :]
-            # two loose rows meet where the lesser is at home
-            ok = (component[x] != component[y]) & ((component[y] == main[y]) | (ids[y] < ids[x]))
-            ok &= 100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y])
-            i, j = np.nonzero(ok)
-            x, y = loose[at + i], own[j]
-            far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1)
-            ok = (far <= SKETCH_SLACK) & (ids[x] != ids[y])
-            x, y, far = x[ok], y[ok], far[ok]
-            if reach is not None and len(x):
-                order = np.lexsort((far, component[y], x))
-                x, y = x[order], y[order]
-                starts = np.r_[True, (x[1:] != x[:-1]) | (component[y[1:]] != component[y[:-1]])]
-                place = np.arange(len(x))
-                near = place - np.maximum.accumulate(np.where(starts, place, 0)) < reach
-                x, y = x[near], y[near]
-            yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    placed = rows.select("tree", "prefix", "id", "n", "sketch").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("tree", "prefix", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("tree", "prefix", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_s"))
+    split = sizes.groupBy("tree", "prefix").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.max(F.struct("_n", "component", "_s")).alias("_top"), F.count(F.lit(1)).alias("_apart")).filter("_apart > 1")
+    parts = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    split = split.select("tree", "prefix", F.col("_top.component").alias("_main"), parts(F.col("_top._n"), F.col("_top._s")).alias("_mains"), parts(F.col("_n") - F.col("_top._n"), F.col("_s") - F.col("_top._s")).alias("_loose"))
+    dealt = placed.join(split.hint("merge"), ["tree", "prefix"]).withColumn("_apart", F.col("component") != F.col("_main"))
+    side = F.when(F.col("_apart"), F.pmod(F.hash("id"), F.col("_loose"))).otherwise(-1 - F.pmod(F.hash("id"), F.col("_mains")))
+    dealt = dealt.withColumn("side", side.cast("int"))
+    others = F.sequence(F.lit(0), F.col("_loose") - 1)
+    meets = F.when(
+        F.col("_apart"),
+        F.concat(
+            F.transform(others, lambda j: F.struct(F.least(F.col("side"), j).alias("i"), F.greatest(F.col("side"), j).alias("j"))),
+            F.transform(F.sequence(F.lit(0), F.col("_mains") - 1), lambda k: F.struct(F.col("side").alias("i"), (-1 - k).alias("j"))),
+        ),
+    ).otherwise(F.transform(others, lambda i: F.struct(i.alias("i"), F.col("side").alias("j"))))
+    return dealt.select("tree", "prefix", F.explode(meets).alias("_meet"), "side", "id", "n", "sketch", "component").select("tree", "prefix", "_meet.i", "_meet.j", "side", "id", "n", "sketch", "component")
+
+
+def possible(rows: DataFrame, partitions: int) -> DataFrame:
+    """Those of ``rows`` (of :func:`crowded`) that sizes and sketches leave a partner in another component, without the sketch."""
 
     def compare(batches):
         import pyarrow as pa
 
-        held = None  # rows of the block that is still open
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("tree", "prefix", "block", "home", "id", "n", "component", "main")]
-            sketch = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sketch")).to_pylist()), dtype=_U).reshape(-1, SKETCH_BITS // 64)
-            rows = [*columns, sketch]
-            if held is None:
-                held = [[r] for r in rows]
-                continue
-            same = all(h[-1][-1] == r[0] for h, r in zip(held[:3], rows[:3], strict=True)) and all((r == r[0]).all() for r in rows[:3])
-            for h, r in zip(held, rows, strict=True):
-                h.append(r)
-            if same:
-                continue
-            held, done = rest(held)
-            for a, b in done:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if held is not None:
-            for a, b in finished([np.concatenate(h) for h in held]):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def rest(held):
-        """The last block's rows, and the pairs of the blocks before it."""
-        rows = [np.concatenate(h) for h in held]
-        last = len(rows[0]) - 1
-        open_from = np.flatnonzero(np.any([r[:-1] != r[1:] for r in rows[:3]], axis=0))
-        cut = int(open_from[-1]) + 1 if len(open_from) else 0
-        return [[r[cut : last + 1]] for r in rows], finished([r[:cut] for r in rows])
-
-    def finished(rows):
-        tree, prefix, block, home, ids, n, component, main, sketch = rows
-        if not len(ids):
-            return
-        edges = np.flatnonzero((tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]) | (block[1:] != block[:-1])) + 1
-        for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, len(ids)].tolist(), strict=True):
-            yield from pairs(ids[a:b], n[a:b], sketch[a:b], component[a:b], main[a:b], home[a:b] == block[a:b])
-
-    placed = dealt.repartition(partitions, *group).sortWithinPartitions(*group)
+        for rows_ in _groups(batches, GROUP_KEYS):
+            size = rows_.num_rows
+            n, component, side = (rows_.column(c).to_numpy() for c in ("n", "component", "side"))
+            signs, touched = _sketches(rows_), np.zeros(size, dtype=bool)
+            own_block = bool(rows_.column("i")[0].as_py() == rows_.column("j")[0].as_py())
+            loose = np.flatnonzero(side >= 0)
+            step = max(1, 500_000 // max(1, size))
+            for at in range(0, len(loose), step):
+                x = loose[at : at + step, None]
+                ok = component[x] != component[None, :]
+                if not own_block:
+                    ok &= side[x] != side[None, :]
+                ok &= (100 * n[x] >= 80 * n[None, :]) & (100 * n[None, :] >= 80 * n[x])
+                a, b = np.nonzero(ok)
+                a = loose[at + a]
+                ok = np.bitwise_count(signs[a] ^ signs[b]).sum(axis=1) <= SKETCH_SLACK
+                touched[a[ok]] = touched[b[ok]] = True
+            if touched.any():
+                kept = rows_.filter(pa.array(touched)).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(c)) for c in (*GROUP_KEYS, "side", "id", "component")], names=[*GROUP_KEYS, "side", "id", "component"])
+
+    placed = rows.repartition(partitions, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS)
+    return placed.mapInArrow(compare, "tree int, prefix long, i int, j int, side int, id long, component long")
+
+
+def joining_links(rows: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+    """Links ``a < b`` that join the components of each group of ``rows`` (of :func:`possible`) as far as the full ``sets`` (``id, set``) allow."""
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for rows_ in _groups(batches, GROUP_KEYS):
+            ids, component, side = (rows_.column(c).to_numpy() for c in ("id", "component", "side"))
+            own_block = bool(rows_.column("i")[0].as_py() == rows_.column("j")[0].as_py())
+            sets_ = [np.frombuffer(v.as_buffer(), dtype=_U) for chunk in rows_.column("set").chunks for v in chunk]
+            n = np.array([len(v) for v in sets_])
+            _, shingle = np.unique(np.concatenate(sets_), return_inverse=True)
+            holder = np.repeat(np.arange(len(ids)), n)[np.argsort(shingle, kind="stable")]
+            many = np.bincount(shingle)
+            first, begin = np.cumsum(many) - many, np.cumsum(n) - n
+            _, label = np.unique(component, return_inverse=True)
+            left, right = [], []
+            for x in np.flatnonzero(side >= 0).tolist():
+                other = label != label[x]
+                if not own_block:
+                    other &= side != side[x]
+                if not n[x] or not other.any():
+                    continue
+                mine = shingle[begin[x] : begin[x] + n[x]]
+                count = many[mine]
+                spots = np.arange(int(count.sum())) + np.repeat(first[mine] - (np.cumsum(count) - count), count)
+                both = np.bincount(holder[spots], minlength=len(ids))
+                for y in np.flatnonzero(other & (100 * both >= 80 * (n[x] + n - both)) & (ids != ids[x])).tolist():
+                    if label[y] != label[x]:
+                        left.append(min(ids[x], ids[y]))
+                        right.append(max(ids[x], ids[y]))
+                        label[label == label[y]] = label[x]
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    armed = rows.join(sets.hint("merge"), "id")
+    placed = armed.repartition(partitions, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS)
     return placed.mapInArrow(compare, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, partitions: int) -> DataFrame:
-    """The pairs whose full sets have similarity 0.8 or more; ``texts`` has ``id, text``.
+def confirmed(pairs: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+    """The pairs whose full sets have similarity 0.8 or more; ``sets`` has ``id, set``.
 
-    Each task gets a parent's text once, then its children one after another. A parent with
+    Each task gets a parent's set once, then its children one after another. A parent with
     many children is given to several tasks.
     """
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m")).select("a", F.ceil(F.col("_m") / GROUP).cast("int").alias("_parts"))
     dealt = pairs.join(many, "a").withColumn("_part", F.pmod(F.hash("b"), F.col("_parts"))).select("a", "b", "_part")
     # Sorted joins at every size: what is small here isn't small for certain on larger inputs.
-    texts = texts.hint("merge")
-    children = dealt.join(texts, dealt["b"] == texts["id"]).select("a", "_part", F.lit(1).alias("_child"), "b", "text")
-    parents = dealt.select("a", "_part").distinct().join(texts, F.col("a") == texts["id"]).select("a", "_part", F.lit(0).alias("_child"), F.col("a").alias("b"), "text")
+    sets = sets.hint("merge")
+    children = dealt.join(sets, dealt["b"] == sets["id"]).select("a", "_part", F.lit(1).alias("_child"), "b", "set")
+    parents = dealt.select("a", "_part").distinct().join(sets, F.col("a") == sets["id"]).select("a", "_part", F.lit(0).alias("_child"), F.col("a").alias("b"), "set")
     rows = children.unionByName(parents).repartition(partitions, "a", "_part").sortWithinPartitions("a", "_part", "_child", "b")
 
     def compare(batches):
         import pyarrow as pa
 
-        shingle = Shingler(words)
-        group, sets = None, []
+        group, held = None, []
         for batch in batches:
             left, right = [], []
-            for a, part, child, b, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                got = shingle(text)
+            for a, part, child, b, got in zip(*(_column(batch, c).tolist() for c in ("a", "_part", "_child", "b")), batch.column(4), strict=True):
+                got = np.frombuffer(got.as_buffer(), dtype=_U)
                 if not child:
                     if group != (a, part):
-                        group, sets = (a, part), []
-                    sets.append(got)
+                        group, held = (a, part), []
+                    held.append(got.copy())
                     continue
-                for s in sets:
+                for s in held:
                     both = int(np.count_nonzero(s[np.minimum(np.searchsorted(s, got), s.size - 1)] == got)) if s.size else 0
                     if both and 100 * both >= 80 * (s.size + got.size - both):
                         left.append(a)
@@ -331,17 +381,18 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
     # Equal sets form a class; its least id stands for it.
     names = ["n", "h1", "h2"]
     sets = signed.filter("id is not null and n > 0")
-    classes = sets.groupBy(*names).agg(F.min("id").alias("rep"))
+    classes = sets.groupBy(*names).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_members"))
     chosen = sets.join(classes.withColumnsRenamed({c: f"_{c}" for c in names}), (F.col("id") == F.col("rep")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n"))).select("id", "n", "sketch", "orders")
     pairs = stage(candidates(chosen, partitions), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stage(plain.filter("id is not null").join(nodes.hint("merge"), "id", "left_semi"), "texts")
+    sets_of = lambda nodes: stage(shingle_sets(plain.filter("id is not null").join(nodes.hint("merge"), "id", "left_semi"), words), "sets")
+    full = sets_of(nodes)
     wanted = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = tried = found = None
     apart, depth = pairs, 0
     while True:
         asked = stage(wanted, "asked")
-        new = stage(confirmed(asked, texts, words, partitions), "links")
+        new = stage(confirmed(asked, full, partitions), "links")
         fresh = new.limit(1).count() > 0
         tried = asked if tried is None else tried.unionByName(asked)
         links = new if links is None else links.unionByName(new)
@@ -363,28 +414,28 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
         every = apart.select("a", "b").unionAll(hubbed).distinct()
         wanted = every.join(tried, ["a", "b"], "left_anti")
     # What is still apart in a shared prefix is compared there.
-    rows = prefixes(chosen)
-    for reach in WIDEN:
-        rows, old = stage(crowded(rows, found), "crowded"), rows
+    near = stage(possible(crowded(prefixes(chosen), found), partitions), "possible")
+    rest = sets_of(near.select("id").distinct())
+    new = stage(joining_links(near, rest, partitions), "links")
+    if new.limit(1).count():
+        old, found = found, stage(extend(found, new), "components")
         unstage(old)
-        met = stage(across(rows, reach, partitions), "met")
-        if not met.limit(1).count():
-            break
-        asked = stage(met.join(tried, ["a", "b"], "left_anti"), "asked")
-        unstage(met)
-        ends = asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))).distinct()
-        near = stage(plain.filter("id is not null").join(ends.hint("merge"), "id", "left_semi"), "texts")
-        new = stage(confirmed(asked, near, words, partitions), "links")
-        unstage(near)
-        tried = tried.unionByName(asked)
-        if new.limit(1).count():
-            old, found = found, stage(extend(found, new), "components")
-            unstage(old)
-    unstage(rows)
-    of_class = classes.join(found, classes["rep"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("_component"))
-    every = signed.select("id", *names)
-    whole = every.join(of_class, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left")
+    of_class = classes.join(found, classes["rep"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("_component"), "_members")
+    whole = _looked_up(signed.select("id", *names), of_class, names)
     component = F.coalesce("_component", "id")
-    for used in (pairs, texts):
+    for used in (pairs, full, near, rest):
         unstage(used)
     return whole.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _looked_up(rows: DataFrame, of_class: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with the ``_component`` of their class; members of large classes look it up under a salt, so that no task gets them all."""
+    same = lambda r: [F.col(c) == F.col(f"{r}{c}") for c in names]
+    large = of_class.filter(F.col("_members") > HOT_CLASS).select(*[F.col(f"_{c}").alias(f"_l{c}") for c in names], F.col("_component").alias("_large"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_lsalt"))
+    salted = rows.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(large.hint("merge"), [*same("_l"), F.col("_salt") == F.col("_lsalt")], "left")
+    # what has its component already looks for a class that there isn't, each row another one
+    gone = F.col("_large").isNotNull()
+    asked = salted.select("id", *names, "_large", *[F.when(gone, F.lit(-1) if c == "n" else F.xxhash64("id", F.lit(c))).otherwise(F.col(c)).alias(f"_a{c}") for c in names])
+    small = of_class.filter(F.col("_members") <= HOT_CLASS)
+    joined = asked.join(small.hint("merge"), [F.col(f"_a{c}") == F.col(f"_{c}") for c in names], "left")
+    return joined.select("id", *names, F.coalesce("_large", "_component").alias("_component"))

@@ -36,7 +36,7 @@ def test_minhash_finds_a_chained_family(spark):
 
 def test_minhash_links_pairs_in_a_crowded_prefix(spark, monkeypatch):
     # All texts share a template (similarity 0.7); only the planted pairs are above 0.8.
-    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(minhash, "BLOCK", 30)
     template = " ".join(f"t{i}" for i in range(70))
     crowd = [(i, f"{template} " + " ".join(f"u{i}x{j}" for j in range(15))) for i in range(160)]
     crowd += [(1000 + i, f"{template} " + " ".join(f"u{i}x{j}" if j < 8 else f"v{i}x{j}" for j in range(15))) for i in range(0, 160, 2)]
