@@ -5,10 +5,16 @@ word then gets a log score per language from character n-grams, and a Viterbi pa
 words of a text, with a penalty for each switch, labels its spans. The text's language is the
 one that most of its words carry.
 
+Words are scored and labelled a block of texts at a time, in numpy. A text needs no Viterbi pass
+if over no stretch of its words other languages beat its best single one by the penalty: a switch
+can't pay there, so the constant path is the only best one.
+
 The model is fitted on at most :data:`SAMPLE_ROWS` labelled rows (chosen by a hash of their
-id) and keeps at most :data:`MODEL_GRAMS` n-grams, the most frequent; counting is distributed.
+id) and keeps at most :data:`MODEL_GRAMS` n-grams: those with the largest share of any one
+language's grams, so that a language with few rows keeps its own. Counting is distributed.
 
-Null text, empty text and text without a letter: ``und`` with score 0. With no labelled row at
+A word is a run of letters; combining marks belong to the word that they follow. Null text,
+empty text and text without a letter: ``und`` with score 0. With no labelled row at
 all every text is ``und``. Ties between languages go to the first in code point order. Every row
 is returned, repeated rows too; texts are read whole whatever their length. Other columns are
 ignored, whatever their names.
@@ -17,9 +23,11 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,8 +42,29 @@ SWITCH_PENALTY = 12.0
 UNKNOWN = "und"
 #: A language is a candidate for a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
-_CACHE_WORDS = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Words that a task remembers, characters scored at once, and the length from which a word is scored by itself.
+_CACHE_WORDS, _SCORE_CHARS, _LONG_WORD = 150_000, 100_000, 20_000
+
+
+def _mark_ranges() -> str:
+    """Combining marks as the inside of a character class."""
+    marks = [c for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    runs = [[c for _, c in run] for _, run in groupby(enumerate(marks), lambda x: x[1] - x[0])]
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+
+
+_MARKS = _mark_ranges()
+_LETTERS = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+_LEADING = re.compile(f"^[{_MARKS}]+")
+
+
+def _plain(word: str) -> str:
+    """Letters and the marks that follow them; empty without a letter."""
+    if word.isalpha():
+        return word
+    kept = "".join([c for c in word if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc")])
+    kept = _LEADING.sub("", kept)
+    return kept if any(map(str.isalpha, kept)) else ""
 #: First code point of each script range; 0 is "other".
 _RANGES = [
     (0x0, "other"), (0x41, "latin"), (0x250, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"),
@@ -61,16 +90,35 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Languages, log probabilities ``table[gram_index, language]`` and each script's candidates."""
+    """Languages, alphabet, gram keys by order and their rows in ``table[row, language]`` (log probabilities, the last row for unknown grams), and each script's candidates."""
 
     langs: list[str]
-    index: dict[str, int]
+    alphabet: np.ndarray
+    keys: list[np.ndarray]
+    rows: list[np.ndarray]
     table: np.ndarray
-    floor: np.ndarray
     scripts: dict[str, list[bool]]
     penalty: float = SWITCH_PENALTY
 
 
+def pack(langs: list[str], names: list[str], counts: np.ndarray, scripts: dict[str, list[bool]], penalty: float) -> Model:
+    """A model of the grams ``names`` from their ``counts`` (gram, language).
+
+    A gram's key is its characters' places in the alphabet (from 1), 16 bits each, so keys are
+    exact; characters beyond the alphabet have place 0, which no gram of the model holds.
+    """
+    size = counts.sum(axis=0) + 0.5 * (len(names) + 1)
+    table = np.log(np.vstack([counts, np.zeros((1, len(langs)))]) + 0.5) - np.log(size)
+    alphabet = np.array(sorted(set(map(ord, "^$" + "".join(names))))[:65_535], dtype=np.uint32)
+    place = {chr(c): i + 1 for i, c in enumerate(alphabet.tolist())}
+    keys, rows = [], []
+    for order in ORDERS:
+        found = sorted((sum(place.get(c, 0) << 16 * k for k, c in enumerate(g)), i) for i, g in enumerate(names) if len(g) == order)
+        keys.append(np.array([k for k, _ in found], dtype=np.uint64))
+        rows.append(np.array([i for _, i in found], dtype=np.int64))
+    return Model(langs, alphabet, keys, rows, table, scripts, penalty)
+
+
 def fit(df: DataFrame, text: str, label: str, key: Column, sample_rows: int = SAMPLE_ROWS, model_grams: int = MODEL_GRAMS, penalty: float = SWITCH_PENALTY) -> Model:
     """Fit on the rows of ``df`` that have a label; ``key`` decides which rows a bounded sample takes."""
     rows = df.select(F.col(text).alias("_t"), F.col(label).alias("_l"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("_h")).filter("_l is not null and _t is not null")
@@ -94,66 +142,153 @@ def fit(df: DataFrame, text: str, label: str, key: Column, sample_rows: int = SA
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(tally)), "gram": pa.array(list(tally)), "n": pa.array(list(tally.values()), pa.int64())})
 
     counted = rows.select("_l", "_t").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_gram = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    top = by_gram.orderBy(F.col("gram").startswith("#").desc(), F.desc("total"), "gram").limit(model_grams).collect()
+    script = F.col("gram").startswith("#")
+    # one row for each language
+    sizes = counted.filter(~script).groupBy("lang").agg(F.sum("n").alias("_all"))
+    shared = counted.join(F.broadcast(sizes), "lang", "left")
+    by_gram = shared.groupBy("gram").agg(F.max(F.col("n") / F.col("_all")).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    top = by_gram.orderBy(script.desc(), F.desc("share"), "gram").limit(model_grams).collect()
     langs = sorted({lang for r in top for lang in r["by_lang"]})
     names = [r["gram"] for r in top if not r["gram"].startswith("#")]
-    table = np.zeros((len(names), len(langs)))
-    at = {g: i for i, g in enumerate(names)}
-    script = {}
-    for r in top:
-        row = np.array([r["by_lang"].get(x, 0) for x in langs], dtype=float)
-        if r["gram"].startswith("#"):
-            script[r["gram"][1:]] = row
-        else:
-            table[at[r["gram"]]] = row
-    size = table.sum(axis=0) + 0.5 * (len(names) + 1)
-    letters = sum(script.values(), np.zeros(len(langs)))
-    scripts = {k: list(v >= SCRIPT_SHARE * np.maximum(letters, 1)) for k, v in script.items()}
-    return Model(langs, at, np.log((table + 0.5) / size), np.log(0.5 / size), {k: v for k, v in scripts.items() if any(v)}, penalty)
+    counts = lambda r: np.array([r["by_lang"].get(x, 0) for x in langs], dtype=float)
+    script_rows = {r["gram"][1:]: counts(r) for r in top if r["gram"].startswith("#")}
+    letters = sum(script_rows.values(), np.zeros(len(langs)))
+    scripts = {k: list(v >= SCRIPT_SHARE * np.maximum(letters, 1)) for k, v in script_rows.items()}
+    table = np.array([counts(r) for r in top if not r["gram"].startswith("#")]).reshape(len(names), len(langs))
+    return pack(langs, names, table, {k: v for k, v in scripts.items() if any(v)}, penalty)
 
 
 class Labeller:
-    """Labels words with a fitted model; word scores are cached between batches."""
+    """Labels words with a fitted model; the scores of a bounded number of words are kept between blocks."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.place = {chr(c): i + 1 for i, c in enumerate(model.alphabet.tolist())}
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-
-    def _score(self, word: str) -> np.ndarray | None:
-        word = word if word.isalpha() else "".join(filter(str.isalpha, word))
-        if not word:
-            return None
-        m = self.model
-        at = [m.index.get(g, -1) for g in grams(word)]
-        hits = [i for i in at if i >= 0]
-        out = m.table[hits].sum(axis=0) + m.floor * (len(at) - len(hits))
-        allowed = m.scripts.get(script_of(word[0]))
-        return out if allowed is None else np.where(allowed, out, out.min() - 100.0)
-
-    def words(self, text: str, lowered: bool = False) -> list[str]:
-        return _LETTERS.findall(text if lowered else text.lower())
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        for w in set(words).difference(known):
-            score = self._score(w)
-            known[w] = -1 if score is None else len(self.rows)
-            if score is not None:
-                self.rows.append(score)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        self.used = 0
+        self.scores = np.zeros((1024, max(1, len(model.langs))))
+
+    def words(self, text: str) -> list[str]:
+        return _LETTERS.findall(text.lower())
+
+    def _codes(self, chars: str) -> np.ndarray:
+        """Places of characters in the model's alphabet."""
+        points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        at = np.minimum(np.searchsorted(self.model.alphabet, points), self.model.alphabet.size - 1)
+        return np.where(self.model.alphabet[at] == points, at + 1, 0).astype(np.uint64)
+
+    def _gram_rows(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """The table's row of each gram of ``order`` characters that begins in ``codes``."""
+        n = max(0, codes.size - order + 1)
+        key = np.zeros(n, dtype=np.uint64)
+        for k in range(order):
+            key |= codes[k : k + n] << np.uint64(16 * k)
+        known, rows = self.model.keys[order - 1], self.model.rows[order - 1]
+        last = len(self.model.table) - 1
+        if not known.size:
+            return np.full(n, last)
+        at = np.minimum(np.searchsorted(known, key), known.size - 1)
+        return np.where(known[at] == key, rows[at], last)
+
+    def raw_scores(self, words: list[str]) -> np.ndarray:
+        """Log score of each word in each language, grams only."""
+        table = self.model.table
+        out = np.zeros((len(words), table.shape[1]))
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        if len(words) == 1 and sizes[0] >= _LONG_WORD:
+            codes = self._codes(f"^{words[0]}$")
+            for order in ORDERS:
+                part = codes if order > 1 else codes[1:-1]
+                out[0] += np.bincount(self._gram_rows(part, order), minlength=len(table)) @ table
+            return out
+        codes = self._codes("".join([f"^{w}$" for w in words]))
+        starts = np.cumsum(sizes + 2) - sizes - 2
+        where = np.arange(codes.size) - np.repeat(starts, sizes + 2)
+        room = np.repeat(sizes + 2, sizes + 2) - where
+        for order in ORDERS:
+            rows = self._gram_rows(codes, order)
+            inside = room[: rows.size] >= order
+            if order == 1:
+                inside &= (where > 0) & (room > 1)
+            # every word has a gram of order 1 and 2; of a higher order perhaps none
+            count = np.maximum(0, sizes + 3 - order) if order > 1 else sizes
+            some = count > 0
+            got = table[rows[inside]]
+            out[some] += np.add.reduceat(got, (np.cumsum(count) - count)[some], axis=0) if len(got) else 0.0
+        return out
+
+    def _score(self, words: list[str]) -> np.ndarray:
+        """Log scores of words of letters, languages of other scripts far below."""
+        out = np.zeros((len(words), self.scores.shape[1]))
+        at, chars, begin = 0, 0, 0
+        for at, word in enumerate(words):
+            if chars and chars + len(word) > _SCORE_CHARS:
+                out[begin:at] = self.raw_scores(words[begin:at])
+                begin, chars = at, 0
+            chars += len(word)
+        out[begin:] = self.raw_scores(words[begin:])
+        kinds = np.array([script_of(w[0]) for w in words])
+        for kind in set(kinds.tolist()):
+            if (allowed := self.model.scripts.get(kind)) is not None:
+                rows = np.flatnonzero(kinds == kind)
+                part = out[rows]
+                out[rows] = np.where(allowed, part, part.min(axis=1, keepdims=True) - 100.0)
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        real = []
+        for w in sorted(words):
+            plain = _plain(w)
+            self.known[w] = self.used + len(real) if plain else -1
+            if plain:
+                real.append(plain)
+        while self.used + len(real) > len(self.scores):
+            self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
+        if real:
+            self.scores[self.used : self.used + len(real)] = self._score(real)
+        self.used += len(real)
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language index of each word of each text; -1 for what holds no letter."""
-        if len(self.known) > _CACHE_WORDS:
-            self.known, self.rows = {}, []
-        ids = [self._ids(w) for w in texts]
-        scores = np.array(self.rows) if self.rows else np.zeros((1, max(1, len(self.model.langs))))
-        out = [np.full(len(i), -1, dtype=np.int16) for i in ids]
-        real = [i[i >= 0] for i in ids]
-        for k, path in viterbi([(k, r) for k, r in enumerate(real) if r.size], scores, self.model.penalty):
-            out[k][ids[k] >= 0] = path
+        known = self.known
+        fresh = set().union(*texts).difference(known)
+        if len(known) + len(fresh) > _CACHE_WORDS:
+            known.clear()
+            self.used, self.scores = 0, self.scores[:1024].copy()
+            fresh = set().union(*texts)
+        self._learn(fresh)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        real = ids >= 0
+        out = np.full(ids.size, -1, dtype=np.int16)
+        out[real] = self._paths(ids[real], owner[real])
+        return np.split(out, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+    def _paths(self, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Best labels of the words ``ids`` of several texts, ``owner`` ascending."""
+        if not ids.size:
+            return np.zeros(0, dtype=np.int16)
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        sizes = np.diff(np.r_[starts, ids.size])
+        scores, penalty = self.scores[ids], self.model.penalty
+        best = np.add.reduceat(scores, starts, axis=0).argmax(axis=1)
+        mine = np.repeat(best, sizes)
+        place = np.arange(ids.size)
+        own = scores[place, mine].copy()
+        scores[place, mine] = -np.inf
+        # what the best other language gains on the text's own over a stretch: prefix sums less the least one before
+        gain = np.maximum(scores.max(axis=1) - own, -4 * penalty)
+        total = np.cumsum(gain)
+        before = total - gain
+        apart = 2.0 * np.abs(total).max() + 1.0
+        shift = np.repeat(np.arange(len(starts)), sizes) * apart
+        most = np.maximum.reduceat((total - shift) - np.minimum.accumulate(before - shift), starts)
+        out = mine.astype(np.int16)
+        mixed = np.flatnonzero(most > penalty - 1e-3)
+        items = [(int(k), ids[starts[k] : starts[k] + sizes[k]]) for k in mixed]
+        for k, path in viterbi(items, self.scores, penalty):
+            out[starts[k] : starts[k] + sizes[k]] = path
         return out
 
 
@@ -222,7 +357,7 @@ def identify(df: DataFrame, model: Model, keep: dict[str, Column], text: str = "
         return work
 
     columns = "lang_pred string, score double" + (", spans array<struct<start:int,end:int,lang:string>>" if spans else "")
-    return map_texts(df, keep, text_of(text), make, columns)
+    return map_texts(df, keep, text_of(text), make, columns, block_bytes=4_000_000)
 
 
 def _runs(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
