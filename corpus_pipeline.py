@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from palimpsest.llm import common, lang_id, line_chunks, minhash, mixing, piece_codec, registry
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Share of a text's words that its main language must carry.
-LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Label each document; those without a letter, or without a main language, go."""
+    """Label each document by its main language; those without a letter go.
+
+    A text in several languages stays, whatever share its main one has. Where no document has a
+    label nothing can be judged, and all stay as they are.
+    """
     model = lang_id.fit(docs, "text", "lang", F.col("doc_id"))
-    kept = {c: F.col(c) for c in COLUMNS}
-    labelled = lang_id.identify(docs, model, kept)
-    good = labelled.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return good.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    if not model.langs:
+        return docs.select(*COLUMNS)
+    labelled = lang_id.identify(docs, model, {c: F.col(c) for c in COLUMNS})
+    return labelled.filter(F.col("lang_pred") != lang_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
