@@ -6,13 +6,16 @@ Positions come without a user function: the parts that ``split`` leaves and the
 ``regexp_extract_all`` finds alternate, so running sums of their lengths give each match's start.
 
 The battery looks at long tokens that the base patterns don't cover. The token's characters
-decide its encoding (hex, base32, base62/64), of known alphabet size. Under the null "written
-by a person" the characters of a token rarely change class (lower, upper, digit; a capital before
-small letters and separators don't count): a binomial tail gives the evidence against the null, so longer tokens can earn smaller p-values. Three
-tests of randomness can veto: chi-squared uniformity over the alphabet, runs above and below
-the middle of the alphabet, and lag-one serial correlation. The Benjamini-Hochberg step-up rule
-is applied within each class of token length, over all candidates of the corpus, from a
-histogram of p-values of fixed size.
+decide its encoding (hex, base32, base62/64), and so its alphabet. Three tests, each against the
+null "written by a person", give a p-value each: chi-squared uniformity (a person's token repeats
+characters: coinciding pairs are rarer than :data:`COINCIDENCE` allows), runs (a person's token
+rarely changes between lower case, upper case and digits, a capital before small letters not
+counted), and lag-one serial correlation (a person's token keeps neighbours alike). They are
+combined by Stouffer's rule for correlated tests, so longer tokens can earn smaller p-values.
+A token that the same three statistics show not to be random at all (beyond :data:`VETO`
+deviations from a uniform one), or of no encoding, has p = 1. The Benjamini-Hochberg step-up rule
+is applied within each class of token length, over all candidates of the corpus, those with
+p = 1 included, from a histogram of p-values of fixed size (rounded up, so on the safe side).
 
 Null text is read as empty. Every row is returned, repeated rows too (repeated rows count
 repeatedly in the false-discovery control); other columns are ignored.
@@ -20,6 +23,8 @@ repeatedly in the false-discovery control); other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +43,13 @@ BASE = {
 #: A sign ``=`` is padding at a token's end or parts a name from its value; it never stands inside.
 TOKEN = r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]{16,}+=*+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{20,}+"
 FDR = 0.05
-#: Rate of class changes between neighbouring characters that the null allows.
-CHANGE_RATE = 0.2
+#: What the null allows: the least rate of coinciding pairs of characters by encoding, and how much
+#: wider than Poisson their number spreads; the rate of class changes between neighbours; the least
+#: correlation of neighbours. Then the correlation of the tests that their combination assumes.
+COINCIDENCE = {"hex": 0.1, "base32": 0.06, "base64": 0.05}
+SPREAD, CHANGE_RATE, ALIKE, TOGETHER = 2.5, 0.2, 0.3, 0.5
+#: Deviations from what a uniform token would show that rule randomness out.
+VETO = 3.5
 #: Length classes of the false-discovery control, and bins of -ln p.
 LENGTHS = (24, 32, 48, 64)
 BIN, BINS = 0.25, 400
@@ -78,12 +88,15 @@ def _joined(spans: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct ``encoding, length, chi, runs, serial, evidence`` of one token; null for a word.
+    """Struct ``encoding, length, chi, runs, serial, evidence`` of one token.
 
-    The three tests are about standard normal for random tokens; ``evidence`` is -ln p. Every
-    step is bound once by ``let``, so a token costs time in proportion to its length.
+    The three tests are about standard normal for random tokens; ``evidence`` is -ln of the
+    combined p-value under the null of a person's token, 0 where that is 1. Every step is bound
+    once by ``let``, so a token costs time in proportion to its length.
     """
-    return let(token, lambda t: let(_encoding(t), lambda e: F.when(e != "word", let(_even(t, e), lambda c: let(_classes(t), lambda k: _tests(t, e, c, k))))))
+    none = F.lit(None).cast("double")
+    plain = F.struct(F.lit("word").alias("encoding"), F.length(token).alias("length"), none.alias("chi"), none.alias("runs"), none.alias("serial"), F.lit(0.0).alias("evidence"))
+    return let(token, lambda t: let(_encoding(t), lambda e: F.when(e != "word", let(_even(t, e), lambda c: let(_classes(t), lambda k: _tests(t, e, c, k)))).otherwise(plain)))
 
 
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -126,9 +139,8 @@ def _neighbours(values: Column) -> Column:
 def _tests(token: Column, encoding: Column, codes: Column, classes: Column) -> Column:
     size = F.when(encoding == "hex", 16.0).when(encoding == "base32", 32.0).otherwise(64.0)
     n = F.size(codes).cast("double")
-    counts = F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0)))
-    chi = (size / n * _total(counts) - n - (size - 1)) / F.sqrt(2 * (size - 1))
     middle = (size - 1) / 2
+    squares = _total(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0))))
 
     def runs(above: Column) -> Column:
         expected = 2 * above * (n - above) / n
@@ -136,19 +148,41 @@ def _tests(token: Column, encoding: Column, codes: Column, classes: Column) -> C
         turns = _total(F.transform(_neighbours(codes), lambda p: F.when((p["a"] > middle) != (p["b"] > middle), 1.0).otherwise(0.0)))
         return (turns - expected) / spread
 
-    def serial(mean: Column) -> Column:
+    def correlation(mean: Column) -> Column:
         cov = _total(F.transform(_neighbours(codes), lambda p: (p["a"] - mean) * (p["b"] - mean)))
-        return let(_total(F.transform(codes, lambda c: (c - mean) * (c - mean))), lambda var: F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.sqrt(n)))
+        return let(_total(F.transform(codes, lambda c: (c - mean) * (c - mean))), lambda var: F.when(var > 0, cov / var).otherwise(1.0))
 
-    changes = _total(F.transform(_neighbours(classes), lambda p: F.when((p["a"] != p["b"]) & ~((p["a"] == "A") & (p["b"] == "a")), 1.0).otherwise(0.0)))
-    # Chernoff's bound on the binomial tail: n * KL(observed rate || null rate).
-    evidence = let(
-        F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), changes / (n - 1))),
-        lambda q: F.when(q > CHANGE_RATE, (n - 1) * (q * F.log(q / CHANGE_RATE) + (1 - q) * F.log((1 - q) / (1 - CHANGE_RATE)))).otherwise(0.0),
-    )
     above = _total(F.transform(codes, lambda c: F.when(c > middle, 1.0).otherwise(0.0)))
-    made = F.struct(encoding.alias("encoding"), F.length(token).alias("length"), chi.alias("chi"), let(above, runs).alias("runs"), let(_total(codes) / n, serial).alias("serial"), evidence.alias("evidence"))
-    return F.when(n >= 16, made)
+    turned = lambda p: F.when((p["a"] != p["b"]) & ~((p["a"] == "A") & (p["b"] == "a")), 1.0).otherwise(0.0)
+    changes = _total(F.transform(_neighbours(classes), turned)) / (n - 1)
+    steps = F.struct(squares.alias("squares"), let(above, runs).alias("runs"), let(_total(codes) / n, correlation).alias("serial"), changes.alias("changes"))
+
+    def made(s: Column) -> Column:
+        chi = (size / n * s["squares"] - n - (size - 1)) / F.sqrt(2 * (size - 1))
+        serial = s["serial"] * F.sqrt(n)
+        fits = (chi < VETO) & (F.abs(s["runs"]) < VETO) & (F.abs(serial) < VETO)
+        evidence = F.when(fits, _combined(encoding, n, s["squares"], s["changes"], s["serial"])).otherwise(0.0)
+        return F.struct(encoding.alias("encoding"), F.length(token).alias("length"), chi.alias("chi"), s["runs"].alias("runs"), serial.alias("serial"), evidence.alias("evidence"))
+
+    return let(steps, made)
+
+
+def _combined(encoding: Column, n: Column, squares: Column, changes: Column, serial: Column) -> Column:
+    """-ln p of the three tests together, each against a person's token.
+
+    Each test's bound exp(-z * z / 2) gives its z: Chernoff's for too few coinciding pairs, taken as
+    Poisson counts of wider spread, and for too many class changes; Fisher's for the correlation.
+    """
+    rate = F.when(encoding == "hex", COINCIDENCE["hex"]).when(encoding == "base32", COINCIDENCE["base32"]).otherwise(COINCIDENCE["base64"])
+    pairs = (squares - n) / 2
+    expected = n * (n - 1) / 2 * rate
+    few = F.when(pairs < expected, (expected - pairs + F.when(pairs > 0, pairs * F.log(F.greatest(pairs, F.lit(1e-9)) / expected)).otherwise(0.0)) / SPREAD).otherwise(0.0)
+    q = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), changes))
+    many = F.when(q > CHANGE_RATE, (n - 1) * (q * F.log(q / CHANGE_RATE) + (1 - q) * F.log((1 - q) / (1 - CHANGE_RATE)))).otherwise(0.0)
+    bounded = F.least(F.lit(0.999), F.greatest(F.lit(-0.999), serial))
+    unlike = F.greatest(F.lit(0.0), (F.lit(math.atanh(ALIKE)) - F.atanh(bounded)) * F.sqrt(n - 3))
+    z = (F.sqrt(2 * few) + F.sqrt(2 * many) + unlike) / math.sqrt(3 + 6 * TOGETHER)
+    return z * z / 2
 
 
 def random_tokens(docs: DataFrame, key: list[str], text: str, base: str) -> DataFrame:
@@ -158,11 +192,11 @@ def random_tokens(docs: DataFrame, key: list[str], text: str, base: str) -> Data
     # Tests run inside the generator, below which no later filter can be pushed and so repeat them.
     made = F.when(F.col(text).rlike(TOKEN), let(F.col(base), lambda taken: F.transform(apart(_located(F.col(text), TOKEN, "random"), taken), tested)))
     scored = docs.select(*key, F.explode_outer(made).alias("_made")).select(*key, F.col("_made.span").alias("_span"), "_made.test.*")
-    fit = scored.filter("evidence is not null and chi < 3.5 and abs(runs) < 3.5 and abs(serial) < 3.5")
+    every = scored.filter("_span is not null")
     stratum = F.lit(0)
     for edge in LENGTHS:
         stratum = stratum + F.when(F.col("length") >= edge, 1).otherwise(0)
-    binned = fit.select(*key, "_span", stratum.alias("_stratum"), F.least(F.floor(F.col("evidence") / BIN), F.lit(BINS - 1)).cast("int").alias("_bin"))
+    binned = every.select(*key, "_span", stratum.alias("_stratum"), F.least(F.floor(F.col("evidence") / BIN), F.lit(BINS - 1)).cast("int").alias("_bin"))
     # Step-up rule on the histogram: the least evidence whose p times the tests is within the rate.
     histogram = binned.groupBy("_stratum", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     per = histogram.groupBy("_stratum").agg(F.collect_list(F.struct("_bin", "_n")).alias("_h"))

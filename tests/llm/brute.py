@@ -1,6 +1,7 @@
 """Plain Python versions of the operators' contracts, for tables of a few hundred rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -110,3 +111,60 @@ def winnowed(text, gram=4, window=8, piece=16, base=1_103_515_245, prime=(1 << 3
         if not kept or kept[-1][1] != i + at:
             kept.append((grams[i + at], i + at))
     return kept
+
+
+TOKEN = re.compile(r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]{16,}+=*+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{20,}+")
+
+
+def random_evidence(token):
+    """-ln of the combined p-value of one token, by the definitions of the three tests."""
+    lower, upper, digit = any(map(str.islower, token)), any(map(str.isupper, token)), any(map(str.isdigit, token))
+    body = token.rstrip("=")
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token):
+        alphabet, rate, codes = "0123456789abcdef", 0.1, body.lower()
+    elif re.fullmatch("[A-Z2-7]+=*", token) and upper and digit:
+        alphabet, rate, codes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.06, body
+    elif lower and upper and digit:
+        alphabet, rate, codes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.05, body.replace("-", "+").replace("_", "/")
+    else:
+        return 0.0
+    x = [alphabet.index(c) for c in codes]
+    n, k = len(x), len(alphabet)
+    counts = Counter(x).values()
+    chi = (sum((c - n / k) ** 2 / (n / k) for c in counts) + (k - len(counts)) * n / k - (k - 1)) / math.sqrt(2 * (k - 1))
+    high = [v > (k - 1) / 2 for v in x]
+    expected = 2 * sum(high) * (n - sum(high)) / n
+    runs = (sum(a != b for a, b in zip(high, high[1:])) - expected) / math.sqrt(max(0.25, expected * (expected - 1) / (n - 1)))
+    mean = sum(x) / n
+    var = sum((v - mean) ** 2 for v in x)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / var if var else 1.0
+    if chi >= 3.5 or abs(runs) >= 3.5 or abs(serial) * math.sqrt(n) >= 3.5:
+        return 0.0
+    pairs, lam = sum(c * (c - 1) // 2 for c in counts), n * (n - 1) / 2 * rate
+    few = (lam - pairs + (pairs * math.log(pairs / lam) if pairs else 0)) / 2.5 if pairs < lam else 0.0
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" for c in body if c.isalnum()]
+    q = min(1 - 1e-9, max(1e-9, sum(a != b and (a, b) != ("A", "a") for a, b in zip(kinds, kinds[1:])) / (n - 1)))
+    many = (n - 1) * (q * math.log(q / 0.2) + (1 - q) * math.log((1 - q) / 0.8)) if q > 0.2 else 0.0
+    unlike = max(0.0, (math.atanh(0.3) - math.atanh(min(0.999, max(-0.999, serial)))) * math.sqrt(n - 3))
+    z = (math.sqrt(2 * few) + math.sqrt(2 * many) + unlike) / math.sqrt(6)
+    return z * z / 2
+
+
+def random_spans(texts):
+    """For each text its (start, end) of tokens that the step-up rule keeps, by length class, over all candidates."""
+    found = []
+    for at, text in enumerate(texts):
+        taken = spans(text, SECRET, secret_fails)
+        for m in TOKEN.finditer(text or ""):
+            if not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
+                size = m.end() - m.start()
+                bin_ = min(int(random_evidence(m.group()) // 0.25), 399)
+                found.append((sum(size >= e for e in (24, 32, 48, 64)), bin_, at, m.span()))
+    out = [[] for _ in texts]
+    for stratum in {f[0] for f in found}:
+        part = sorted((f for f in found if f[0] == stratum), key=lambda f: -f[1])
+        good = [r for r, f in enumerate(part, 1) if math.exp(-0.25 * f[1]) * len(part) <= 0.05 * sum(g[1] >= f[1] for g in part)]
+        for f in part:
+            if good and f[1] >= part[max(good) - 1][1]:
+                out[f[2]].append(f[3])
+    return [sorted(s) for s in out]

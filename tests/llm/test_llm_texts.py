@@ -272,3 +272,33 @@ def test_a_megabyte_without_a_space_is_encoded_in_seconds(letters):
     [ids] = tool.encode_batch([text])
     assert tool.decode(ids) == text
     assert time.perf_counter() - began < 60
+
+
+def test_random_tokens_equal_the_plain_version(spark):
+    rng = random.Random(12)
+    full, hexed, b32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    word = lambda: rng.choice(["config", "Value", "user", "Name", "request", "Handler", "v2", "2024", "item", "Index"])
+    texts = []
+    for i in range(400):
+        n = rng.choice([16, 20, 22, 24, 30, 32, 40, 50, 64, 90])
+        made = rng.choice([
+            lambda: "".join(rng.choice(full) for _ in range(n)), lambda: "".join(rng.choice(hexed) for _ in range(n)), lambda: "".join(rng.choice(b32) for _ in range(n)) + "==",
+            lambda: "".join(word() for _ in range(n // 4)), lambda: "_".join(word() for _ in range(n // 5)), lambda: "Ab1" * (n // 3), lambda: "A" * n, lambda: "x" * n + "Y" * 4 + "0" * 4,
+        ])()
+        texts.append(f"start {made} middle token={made} end {made[:18]}== {made}" if i % 3 else f"{made}")
+    texts += [None, "", "=" * 40, "-" * 40]
+    got = {r.doc_id: r.spans for r in secrets.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute.random_spans(texts)
+    assert sum(map(len, want)) > 40
+    for i, spans in enumerate(want):
+        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("random")] == spans, texts[i]
+
+
+def test_too_few_random_tokens_among_words_are_left(spark):
+    # the step-up rule counts all candidates: the same short token passes alone and not among thousands of names
+    key = "q7Xb2LmR9dKf4TzW8vN1"
+    names = [(i, f"some_long_identifier_{i}_of_code_{'abcdefghij'[i % 10]}") for i in range(1, 3000)]
+    alone = secrets.digests(spark.createDataFrame([(0, key)], "doc_id long, text string")).first().spans
+    short = [(i, f"aLongNameOfCode{i:05d}") for i in range(1, 3000)]
+    among = {r.doc_id: r.spans for r in secrets.digests(spark.createDataFrame([(0, key), *short, *[(i + 5000, t) for i, t in names]], "doc_id long, text string")).filter("doc_id = 0").collect()}
+    assert alone == "random:0:20" and among[0] == ""
