@@ -4,13 +4,14 @@ Base spans come from the four contract patterns and always stay. Between them, w
 tokens around digits and ``@`` are segmented by a semi-Markov conditional random field: whole
 candidate segments (up to :data:`MAX_TOKENS` tokens) are scored by features of their shape,
 digits, checksum and context, and a dynamic programme picks boundaries and types together. It
-finds what the patterns can't, such as phone numbers without a plus sign or written-out mail
-addresses. The weights are fitted on the driver by gradient ascent on the exact segment
+finds what the patterns can't, such as phone numbers without a plus sign or in pairs of digits,
+addresses with spaced or bracketed dots, and written-out mail addresses. The weights are fitted on the driver by gradient ascent on the exact segment
 likelihood, over windows that a seeded generator builds; no corpus row is used.
 
-Null text is read as empty. Texts are read whole; every pattern runs in linear time, so long
-runs of one character do no harm. Every row is returned, repeated rows too; other columns are
-ignored.
+Null text is read as empty. Texts are read whole, in time proportional to their length: windows
+reach at most :data:`EDGE` characters for white space and are joined where they meet, a token cut
+by a window's end is left out, and a segment has at most :data:`LONGEST` characters. Every row is
+returned, repeated rows too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 14
 #: Tokens on either side of a trigger that a window holds.
 REACH = 10
+#: Characters that a window may reach beyond that for white space, and that a segment may have.
+EDGE = LONGEST = 120
 #: Features that fewer training segments have are left out of the model.
 MIN_SEEN = 8
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,10 +96,12 @@ def base_spans(text: str) -> list[Span]:
 # ---- the semi-Markov CRF ----
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_TRIGGER = re.compile(r"[0-9]{3}|[\[({]\s*(?:at|dot|\.)\s*[\])}]|\s@\s", re.I)
-_AT = re.compile(r"@|[\[({]\s*at\s*[\])}]", re.I)
-_DOT = re.compile(r"\.|[\[({]\s*(?:dot|\.)\s*[\])}]", re.I)
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({]\s*at\s*[\])}])\s*[A-Za-z0-9-]+(?:\s?(?:\.|[\[({]\s*(?:dot|\.)\s*[\])}])\s?[A-Za-z0-9-]+)+", re.I)
+_TRIGGER = re.compile(r"[0-9]{3}|[0-9]{1,2}[ ./()_-]{1,3}[0-9]{1,2}[ ./()_-]{1,3}[0-9]|[\[({]\s*(?:at|dot|\.)\s*[\])}]|\s@\s|\sat\s(?=\s*[A-Za-z0-9-]+\s+dot\s)", re.I)
+#: A plain "at" counts only before a name and a plain "dot".
+_AT = re.compile(r"@|[\[({]\s*at\s*[\])}]|\sat\s(?=\s*[A-Za-z0-9-]+\s+dot\s)", re.I)
+_DOT = re.compile(r"\.|[\[({]\s*(?:dot|\.)\s*[\])}]|\sdot\s", re.I)
+_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+(?:\s*(?:@|[\[({]\s*at\s*[\])}])\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\s?(?:\.|[\[({]\s*(?:dot|\.)\s*[\])}])\s?|\s+dot\s+)[A-Za-z0-9-]+)+", re.I)
+_PAIRED = re.compile(r"0[0-9]([ .-])[0-9]{2}(?:\1[0-9]{2}){3}")
 _OCTETS = re.compile(r"([0-9]{1,3})(?:(?:\s?\.\s?|\s?[\[({]\.[\])}]\s?)([0-9]{1,3})){3}")
 _NANP = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}")
 _PHONE_LIKE = re.compile(r"(?:\+|00)?[0-9(][0-9 ().-]+[0-9]")
@@ -105,7 +110,7 @@ _CARD_LIKE = re.compile(r"[0-9]{4}([ ./_-]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[
 
 def plausible(segment: str) -> bool:
     """Whether a segment may be an entity at all: it holds seven digits, four numbers, or an at sign."""
-    if len(segment) > 120:
+    if len(segment) > LONGEST:
         return False
     digits = sum(c.isdigit() for c in segment)
     return digits >= 7 or (digits >= 4 and len(_DOT.findall(segment)) >= 3) or bool(_AT.search(segment))
@@ -120,7 +125,7 @@ def segment_features(segment: str, before: str, after: str) -> list[str]:
     out.append(f"letters{letters}")
     shape = re.sub(r"[0-9]+", lambda m: f"<{len(m.group())}>", re.sub(r"[A-Za-z]+", "a", segment))
     out.append(f"shape{shape[:40]}")
-    for name, rule in (("written", _WRITTEN), ("octets", _OCTETS), ("nanp", _NANP), ("phone", _PHONE_LIKE), ("card", _CARD_LIKE)):
+    for name, rule in (("written", _WRITTEN), ("octets", _OCTETS), ("nanp", _NANP), ("paired", _PAIRED), ("phone", _PHONE_LIKE), ("card", _CARD_LIKE)):
         if rule.fullmatch(segment):
             out.append(name)
     if "octets" in out and all(int(x) <= 255 for x in re.findall(r"[0-9]+", segment)):
@@ -153,11 +158,25 @@ class SegmentModel:
         return out
 
     def candidates(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
+        """Segments (first token, token after the last, scores) that may be entities."""
         out = []
+        if not tokens:
+            return out
+        # only segments with four digits or an at sign can be plausible; digits are added up token by token
+        digits = [b - a if text[a].isdigit() else 0 for a, b in tokens]
+        signs = [m.span() for m in _AT.finditer(text, max(0, tokens[0][0] - 1), tokens[-1][1])]
+        sign = 0
         for i, (a, _) in enumerate(tokens):
+            while sign < len(signs) and signs[sign][0] < a:
+                sign += 1
+            first_at = signs[sign][1] if sign < len(signs) else math.inf
+            found = 0
             for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
                 b = tokens[j - 1][1]
-                if (s := self.score(text[a:b], text[a - 1 : a] if a else "", text[b : b + 1])) is not None:
+                if b - a > LONGEST:
+                    break
+                found += digits[j - 1]
+                if (found >= 4 or first_at <= b) and (s := self.score(text[a:b], text[a - 1 : a] if a else "", text[b : b + 1])) is not None:
                     out.append((i, j, s))
         return out
 
@@ -248,6 +267,8 @@ def training_windows(count: int = 700, seed: int = 7) -> list[tuple[str, list[Sp
     def email() -> str:
         at = rng.choice([" [at] ", " (at) ", "[at]", "(at)", " @ ", "{at}"])
         dot = rng.choice([".", " [dot] ", " (dot) ", "[.]", "(dot)"])
+        if rng.random() < 0.2:
+            at, dot = " at ", " dot "
         return word() + rng.choice(["", ".", "_"]).join(["", word()]) + at + word() + dot + rng.choice(["com", "org", "net", "example"])
 
     def ip() -> str:
@@ -257,16 +278,19 @@ def training_windows(count: int = 700, seed: int = 7) -> list[tuple[str, list[Sp
         c, sep = card(), rng.choice([".", "/", "_", "  "])
         return sep.join(c[i : i + 4] for i in range(0, 16, 4))
 
+    def paired() -> str:
+        return rng.choice([" ", " ", ".", "-"]).join(["0" + rng.choice("123456789")] + [num(2) for _ in range(4)])
+
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"+1 ({a}) {b}-{c}", f"+44 {a} {b} {c}"])
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}", f"+1 ({a}) {b}-{c}", f"+44 {a} {b} {c}", paired(), paired()])
 
     def other() -> str:
         r = rng.randint
         return rng.choice([
             f"{r(1900, 2099)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"{r(1, 9)}.{num(7)}", f"{r(1, 9)}.{r(0, 9)}.{r(0, 9)}", num(r(5, 12)),
             f"{num(4)}.{num(4)}.{num(4)}.{num(4)}", f"{r(300, 999)}[.]{r(300, 999)}[.]{num(3)}[.]{num(3)}", f"{num(3)}-{num(4)}", f"{num(3)},{num(3)},{num(3)}",
-            f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{word()} (at {word()})", f"{num(6)} {num(6)}", f"{num(2)}/{num(2)}/{num(4)} {num(2)}:{num(2)}", f"@{word()} {word()}", f"{num(3)} {num(3)} {num(3)} {num(3)}", num(16), num(40), f"${num(3)},{num(3)}.{num(2)}",
+            f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{word()} (at {word()})", f"{num(6)} {num(6)}", f"{num(2)}/{num(2)}/{num(4)} {num(2)}:{num(2)}", f"@{word()} {word()}", f"{word()} at {word()} and {num(3)}", f"at {num(2)} dot {num(2)}", " ".join(num(2) for _ in range(rng.choice([3, 4, 6, 7]))), f"{r(1, 9)}{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(2)}-{num(2)}-{num(2)}", f"{num(1)}. {num(1)}. {num(1)}", f"{num(3)} {num(3)} {num(3)} {num(3)}", num(16), num(40), f"${num(3)},{num(3)}.{num(2)}",
         ])
 
     makers = {"email": email, "ip": ip, "card": dotted_card, "phone": phone}
@@ -292,6 +316,14 @@ def trained() -> dict[str, np.ndarray]:
     return model.weights
 
 
+def _same_run(text: str, at: int) -> bool:
+    """Whether the characters around ``at`` belong to one token."""
+    if not 0 < at < len(text):
+        return False
+    x, y = text[at - 1], text[at]
+    return x.isascii() and y.isascii() and ((x.isalpha() and y.isalpha()) or (x.isdigit() and y.isdigit()))
+
+
 class Finder:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.model = SegmentModel()
@@ -302,23 +334,28 @@ class Finder:
         triggers = [m.span() for m in _TRIGGER.finditer(text)]
         if not triggers:
             return []
-        # Windows: text around triggers, joined where they meet, cut at base spans.
-        taken = sorted((a, b) for a, b, _ in base)
         windows: list[list[int]] = []
         for a, b in triggers:
+            # to white space on both sides if it is near, so that no token is cut
             lo, hi = max(0, a - 8 * REACH), min(len(text), b + 8 * REACH)
+            least, most = max(0, lo - EDGE), min(len(text), hi + EDGE)
+            if windows and lo <= windows[-1][1]:
+                lo = windows[-1][1]
+            else:
+                while lo > least and not text[lo - 1].isspace():
+                    lo -= 1
+            if not windows or hi > windows[-1][1]:
+                while hi < most and not text[hi].isspace():
+                    hi += 1
             if windows and lo <= windows[-1][1]:
-                windows[-1][1] = hi
+                windows[-1][1] = max(hi, windows[-1][1])
             else:
                 windows.append([lo, hi])
+        # Windows are cut at base spans.
+        taken = sorted((a, b) for a, b, _ in base)
         out: list[Span] = []
         k = 0
         for lo, hi in windows:
-            # a window starts and ends at white space, so that no token is cut
-            while lo > 0 and not text[lo - 1].isspace() and lo > windows[0][0] - 200:
-                lo -= 1
-            while hi < len(text) and not text[hi].isspace() and hi < len(text):
-                hi += 1
             at = lo
             while k < len(taken) and taken[k][1] <= lo:
                 k += 1
@@ -328,12 +365,17 @@ class Finder:
                 pieces.append((at, max(at, taken[q][0])))
                 at = max(at, taken[q][1])
                 q += 1
-            pieces.append((at, hi))
+            pieces.append((at, max(at, hi)))
             for a, b in pieces:
-                if b - a >= 7 and _TRIGGER.search(text, a, b):
+                if b - a >= 7 and _TRIGGER.search(text, max(0, a - 1), min(len(text), b + 1)):
                     tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
+                    # the ends of a piece may lie inside a run of letters or digits
+                    if tokens and tokens[0][0] and _same_run(text, tokens[0][0]):
+                        tokens = tokens[1:]
+                    if tokens and _same_run(text, tokens[-1][1]):
+                        tokens = tokens[:-1]
                     out += self.model.decode(text, tokens)
-        return sorted(set(out))
+        return out
 
     def find(self, text: str) -> tuple[list[Span], list[Span]]:
         base = base_spans(text)

@@ -40,6 +40,9 @@ def test_base_spans_equal_the_patterns(docs, rows, none, operator, patterns, fai
         ("write to bob [at] corp [dot] com please", "email", "bob [at] corp [dot] com"),
         ("the host 10[.]20[.]30[.]40 answered", "ip", "10[.]20[.]30[.]40"),
         ("paid with 4111.1111.1111.1111 then", "card", "4111.1111.1111.1111"),
+        ("ring 01 23 45 67 89 before noon", "phone", "01 23 45 67 89"),
+        ("the host 10 . 0 . 0 . 1 answered", "ip", "10 . 0 . 0 . 1"),
+        ("write to ann at example dot org please", "email", "ann at example dot org"),
     ],
 )
 def test_crf_adds_what_patterns_miss(text, kind, hit):
@@ -60,7 +63,7 @@ def test_crf_on_held_out_windows():
 
 def test_crf_leaves_look_alikes():
     finder = pii.Finder(pii.trained())
-    for text in ("born 1987-05-23 in a small town", "version 3.2.1 of the tool", "at 12:34:56 sharp", "the sum of 123,456,789 units"):
+    for text in ("born 1987-05-23 in a small town", "version 3.2.1 of the tool", "at 12:34:56 sharp", "the sum of 123,456,789 units", "12 34 56 were drawn", "we meet at noon and dot the page", "page 10. 11. 12. of it"):
         assert finder.find(text) == ([], []), text
 
 
@@ -302,3 +305,25 @@ def test_too_few_random_tokens_among_words_are_left(spark):
     short = [(i, f"aLongNameOfCode{i:05d}") for i in range(1, 3000)]
     among = {r.doc_id: r.spans for r in secrets.digests(spark.createDataFrame([(0, key), *short, *[(i + 5000, t) for i, t in names]], "doc_id long, text string")).filter("doc_id = 0").collect()}
     assert alone == "random:0:20" and among[0] == ""
+
+
+def test_crf_spans_never_overlap_on_unspaced_text():
+    finder, rng = pii.Finder(pii.trained()), random.Random(21)
+    parts = ["555", "0199", "(212)", "ann", "[at]", "at", "[dot]", "com", "-", ".", "@", "+1", "4111", "10", "x" * 150, "7" * 130]
+    for _ in range(300):
+        text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
+        base, more = finder.find(text)
+        assert base == pii.base_spans(text)
+        both = sorted(more)
+        assert all(x[1] <= y[0] for x, y in zip(both, both[1:]))
+        assert all(b <= x or y <= a for a, b, _ in more for x, y, _ in base)
+
+
+def test_a_megabyte_without_a_space_is_scanned_in_seconds():
+    import time
+
+    rng, finder = random.Random(2), pii.Finder(pii.trained())
+    text = "".join("".join(rng.choices("abcdefghij", k=300)) + str(rng.randint(100, 99_999)) for _ in range(3_300))
+    began = time.perf_counter()
+    finder.find(text)
+    assert time.perf_counter() - began < 20
