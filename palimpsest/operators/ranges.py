@@ -12,14 +12,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ranges at most, and sampled values for each.
-MOST, PER_RANGE = 16_384, 8
+MOST, PER_RANGE = 65_536, 8
 
 
-def _literal(value, kind) -> Column:
-    fields = [F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)]
-    return F.struct(*fields)
+def _constant(entries: str, kind) -> Column:
+    """An array of values given as JSON; folded to one literal when the plan is made."""
+    return F.from_json(F.lit(entries), kind)
 
 
 def ranged(df: DataFrame, order: list[Column], rows: int = 200_000, name: str = "_part") -> DataFrame:
@@ -30,22 +31,24 @@ def ranged(df: DataFrame, order: list[Column], rows: int = 200_000, name: str =
     if parts == 1:
         return df.withColumn(name, F.lit(0).cast("long"))
     wanted = parts * PER_RANGE
-    # a sample of twice the size wanted is cut to size only if chance made it larger than that
+    # about twice as many as wanted; the limit only bounds what chance could add
     sampled = df.select(key.alias("k")).sample(fraction=min(1.0, 2.0 * wanted / total), seed=7).limit(4 * wanted)
     kind = sampled.schema["k"].dataType
-    ordered = sampled.orderBy("k").collect()
-    at = sorted({i * len(ordered) // parts for i in range(1, parts)} - {0}) if ordered else []
-    cuts = [_literal(ordered[i]["k"], kind) for i in at]
+    ordered = [r["j"] for r in sampled.orderBy("k").select(F.to_json("k").alias("j")).collect()]
+    cuts = [ordered[i] for i in sorted({i * len(ordered) // parts for i in range(1, parts)} - {0})]
     if not cuts:
         return df.withColumn(name, F.lit(0).cast("long"))
     # two levels: which group of cuts, then which cut in it
     fan = math.ceil(math.sqrt(len(cuts)))
     groups = [cuts[i : i + fan] for i in range(0, len(cuts), fan)]
+    listed = lambda values: f"[{','.join(values)}]"
+    tops = _constant(listed([g[0] for g in groups]), T.ArrayType(kind))
+    inner = _constant(listed([listed(g) for g in groups]), T.ArrayType(T.ArrayType(kind)))
     below = lambda k, these: F.size(F.filter(these, lambda c: c <= k))
 
     def place(k: Column) -> Column:
-        group = F.greatest(F.lit(1), below(k, F.array(*[g[0] for g in groups])))
-        return F.transform(F.array(group), lambda g: (g - 1) * fan + below(k, F.get(F.array(*[F.array(*x) for x in groups]), g - 1)))[0]
+        group = F.greatest(F.lit(1), below(k, tops))
+        return F.transform(F.array(group), lambda g: (g - 1) * fan + below(k, F.get(inner, g - 1)))[0]
 
     return df.withColumn(name, F.transform(F.array(key), place)[0].cast("long"))
 
