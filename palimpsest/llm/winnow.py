@@ -20,18 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import text_of
+from palimpsest.llm.common import stage, text_of
+from palimpsest.operators import ranges
 
 GRAM = 4
 WINDOW = 8
 PIECE = 16
-#: Rolling hashes are polynomials modulo this prime; a position takes the low 23 bits of a packed entry.
+#: Rolling hashes are polynomials modulo this prime; a position takes the low 32 bits of a packed entry.
 PRIME = (1 << 31) - 1
 BASE = 1_103_515_245
-_POSITIONS = 1 << 23
-#: Documents of one range of ids when neighbours are sought, and quantiles that lay the ranges out.
+_BITS = 32
+_POSITIONS = 1 << _BITS
+#: Documents of one range of ids when neighbours are sought.
 RANGE_ROWS = 2_000
-QUANTILES = 64
 
 
 def _shifted(a: Column, by: int) -> tuple[Column, Column]:
@@ -45,7 +46,7 @@ def tokens(text: Column) -> Column:
 
 
 def packed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: array of hash * 2^23 + (2^23 - 1 - position), one entry for each kept gram."""
+    """Adds ``out``: array of hash * 2^32 + (2^32 - 1 - position), one entry for each kept gram."""
     # Each step is a column of its own, so that no expression is evaluated twice.
     df = df.withColumn("_g", F.transform(tokens(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME))))
     short = F.aggregate("_g", F.lit(0).cast("long"), lambda s, x: (s * BASE + x) % PRIME)
@@ -56,7 +57,7 @@ def packed(df: DataFrame, text: str, out: str) -> DataFrame:
         times = pow(BASE, step, PRIME)
         df = df.withColumn("_g", F.zip_with(*_shifted(F.col("_g"), step), lambda x, y: (x * times + y) % PRIME))
         reach += step
-    df = df.withColumn("_p", F.transform(F.coalesce("_s", "_g"), lambda g, i: g * _POSITIONS + (_POSITIONS - 1 - i % _POSITIONS)))
+    df = df.withColumn("_p", F.transform(F.coalesce("_s", "_g"), lambda g, i: g * _POSITIONS + (_POSITIONS - 1 - i)))
     reach = 1
     while reach < WINDOW:
         step = min(reach, WINDOW - reach)
@@ -68,12 +69,12 @@ def packed(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def hashes(packed_: Column) -> Column:
-    return F.transform(packed_, lambda p: F.shiftright(p, 23))
+    return F.transform(packed_, lambda p: F.shiftright(p, _BITS))
 
 
 def printed(packed_: Column) -> Column:
     """``hash@position`` entries by position, hash in hexadecimal."""
-    return F.array_join(F.transform(packed_, lambda p: F.concat(F.lower(F.hex(F.shiftright(p, 23))), F.lit("@"), (_POSITIONS - 1 - p.bitwiseAND(F.lit(_POSITIONS - 1))).cast("string"))), ",")
+    return F.array_join(F.transform(packed_, lambda p: F.concat(F.lower(F.hex(F.shiftright(p, _BITS))), F.lit("@"), (_POSITIONS - 1 - p.bitwiseAND(F.lit(_POSITIONS - 1))).cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -86,40 +87,27 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fingerprint`` (array of hash and position by position); a map without a shuffle."""
     found = packed(docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")), "_text", "_fp")
-    entry = lambda p: F.struct(F.shiftright(p, 23).alias("hash"), (_POSITIONS - 1 - p.bitwiseAND(F.lit(_POSITIONS - 1))).alias("position"))
+    entry = lambda p: F.struct(F.shiftright(p, _BITS).alias("hash"), (_POSITIONS - 1 - p.bitwiseAND(F.lit(_POSITIONS - 1))).alias("position"))
     return found.select(F.col("_key").alias(key), F.transform("_fp", entry).alias("fingerprint"))
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """Number of a row's range: quantiles of the ids, each cut evenly into pieces of about RANGE_ROWS rows; nulls -1."""
-    points = [i / QUANTILES for i in range(QUANTILES + 1)]
-    got = docs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", F.array(*map(F.lit, points)), F.lit(10_000)).alias("q")).first()
-    cuts = sorted(set(got["q"] or [0]))
-    pieces = got["n"] // (RANGE_ROWS * QUANTILES) + 1
-    spot = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) - 1)
-    low = F.get(F.array(*map(F.lit, cuts)), spot)
-    high = F.coalesce(F.get(F.array(*map(F.lit, cuts)), spot + 1), low)
-    within = (F.col("doc_id") - low).cast("double") / F.greatest(F.lit(1.0), (high - low).cast("double"))
-    piece = F.least(F.lit(float(pieces - 1)), F.greatest(F.lit(0.0), F.floor(within * pieces).cast("double")))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(spot.cast("long") * pieces + piece.cast("long")).cast("long")
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, fp, next_text, next_fp``: next is the row that follows by descending id (after the last: the first).
 
     Equal ids follow each other by a hash of the text; null ids come last. Rows are dealt once,
-    by range of ids, and a window finds the neighbour there. Each range also gets a copy of the
-    first row of the range that follows, put after its own rows.
+    by ranges of id and hash with about as many rows each, and a window finds the neighbour there.
+    Each range also gets a copy of the first row of the range that follows, put after its own rows.
     """
-    ranged = docs.select("doc_id", text_of().alias("text")).withColumn("_range", _ranges(docs)).withColumn("_hash", F.xxhash64("text"))
-    firsts = ranged.groupBy("_range").agg(F.max_by("text", F.struct("doc_id", "_hash")).alias("text"))
-    numbers = ranged.select("_range").distinct()
-    order = Window.orderBy(F.desc("_range"))
-    after = numbers.select(F.col("_range").alias("_before"), F.coalesce(F.lead("_range").over(order), F.max("_range").over(Window.partitionBy())).alias("_range"))
-    extra = firsts.join(after, "_range").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("_before").alias("_range"), F.lit(0).cast("long").alias("_hash"), F.lit(1).alias("_extra"))
-    rows = packed(ranged.withColumn("_extra", F.lit(0)), "text", "fp").unionByName(packed(extra, "text", "fp"))
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("_hash", F.xxhash64("text"))
+    ranged = ranges.ranged(rows, [F.col("doc_id"), F.col("_hash")], RANGE_ROWS, "_range")
+    firsts = stage(ranged.groupBy("_range").agg(F.max_by("text", F.struct("doc_id", "_hash")).alias("text")), "firsts")
+    # one number for each range
+    numbers = sorted(r["_range"] for r in firsts.select("_range").collect())
+    after = docs.sparkSession.createDataFrame([(n, numbers[i - 1]) for i, n in enumerate(numbers)], "_before long, _range long")
+    extra = firsts.join(F.broadcast(after), "_range").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("_before").alias("_range"), F.lit(0).cast("long").alias("_hash"), F.lit(1).alias("_extra"))
+    every = packed(ranged.withColumn("_extra", F.lit(0)), "text", "fp").unionByName(packed(extra, "text", "fp"))
     w = Window.partitionBy("_range").orderBy("_extra", F.desc_nulls_last("doc_id"), F.desc("_hash"))
-    return rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).filter("_extra = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
+    return every.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).filter("_extra = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
