@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,29 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+#: Bytes of rows that executors hand to Python at once.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in small Arrow batches, unless the session has set a size of its own.
+
+    The default of 64 MB is held several times over on both sides, and pooled there afterwards.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, make, columns: str, block_bytes: int = 8_000_000) -> DataFrame:
     """Map whole texts in Python, batch by batch, without a shuffle.
 
@@ -58,6 +82,7 @@ def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, make, column
     new ``columns`` (a DDL string). Texts are handed over in blocks of about ``block_bytes``
     bytes, so the memory of a worker doesn't depend on how long its texts are (beyond one).
     """
+    bound_batches(df.sparkSession)
     source = df.select(*[c.alias(k) for k, c in keep.items()], text.alias("_text"))
     names = list(keep)
     schema = T.StructType(source.schema.fields[: len(names)] + T.StructType.fromDDL(columns).fields)
@@ -79,6 +104,10 @@ def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, make, column
                 arrays = [part.column(i) for i in range(len(names))]
                 arrays += [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], type=f.type) for f in list(arrow)[len(names) :]]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, arrow, strict=True)], schema=arrow)
+                del made, arrays, part
+            release()
+        del work
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage, unstage
+from palimpsest.llm.common import bound_batches, stage, unstage
 from palimpsest.llm.graph import components
 
 SAMPLE_ROWS = 10_000
@@ -181,6 +181,7 @@ def similar(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     """``key, n_links, component_id, kept``: one row for each row of ``vectors``."""
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(spark)
     rows = vectors.select(F.col(key).alias("id"), F.transform(F.col(vector), lambda c: c.cast("double")).alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0), F.lit(False))

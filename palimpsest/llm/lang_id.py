@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_texts, text_of
+from palimpsest.llm.common import bound_batches, map_texts, text_of
 
 SAMPLE_ROWS = 20_000
 MODEL_GRAMS = 60_000
@@ -43,7 +43,7 @@ UNKNOWN = "und"
 #: A language is a candidate for a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.01
 #: Words that a task remembers, characters scored at once, and the length from which a word is scored by itself.
-_CACHE_WORDS, _SCORE_CHARS, _LONG_WORD = 150_000, 100_000, 20_000
+_CACHE_WORDS, _SCORE_CHARS, _LONG_WORD = 100_000, 100_000, 20_000
 
 
 def _mark_ranges() -> str:
@@ -121,6 +121,7 @@ def pack(langs: list[str], names: list[str], counts: np.ndarray, scripts: dict[s
 
 def fit(df: DataFrame, text: str, label: str, key: Column, sample_rows: int = SAMPLE_ROWS, model_grams: int = MODEL_GRAMS, penalty: float = SWITCH_PENALTY) -> Model:
     """Fit on the rows of ``df`` that have a label; ``key`` decides which rows a bounded sample takes."""
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(text).alias("_t"), F.col(label).alias("_l"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("_h")).filter("_l is not null and _t is not null")
     total = rows.count()
     if total > sample_rows:
@@ -357,7 +358,7 @@ def identify(df: DataFrame, model: Model, keep: dict[str, Column], text: str = "
         return work
 
     columns = "lang_pred string, score double" + (", spans array<struct<start:int,end:int,lang:string>>" if spans else "")
-    return map_texts(df, keep, text_of(text), make, columns, block_bytes=4_000_000)
+    return map_texts(df, keep, text_of(text), make, columns, block_bytes=2_000_000)
 
 
 def _runs(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_texts, stage, text_of, unstage
+from palimpsest.llm.common import bound_batches, map_texts, stage, text_of, unstage
 from palimpsest.llm.graph import extend
 
 TREES = 20
@@ -376,6 +376,7 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
     """``key, n_shingles, component_id, kept``: one row for each row of ``docs``."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(spark)
     plain = docs.select(F.col(key).alias("id"), text_of(text).alias("text"))
     signed = stage(signatures(plain, words, "id"), "signed")
     # Equal sets form a class; its least id stands for it.
