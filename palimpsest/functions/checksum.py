@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,12 +49,41 @@ def unmask(masked: int) -> int:
     return (rot >> 17 | rot << 15) & _ALL
 
 
+#: Rows that must still have bytes at a position for numpy to be worth a step.
+FEW = 16
+
+
+def crc32c_many(values: list[bytes], begin: np.ndarray) -> np.ndarray:
+    """CRC of each of many byte strings, one position of all of them at a time; what only few reach is done alone."""
+    order = sorted(range(len(values)), key=lambda i: -len(values[i]))
+    sizes = np.array([len(values[i]) for i in order], dtype=np.int64)
+    flat = np.frombuffer(b"".join([values[i] for i in order]), dtype=np.uint8)
+    place = np.cumsum(sizes) - sizes
+    crc = (np.asarray(begin, dtype=np.int64)[order] ^ _ALL).astype(np.uint32)
+    table = np.array(_T0, dtype=np.uint32)
+    # down to the length that the last of FEW rows has
+    together = int(sizes[FEW - 1]) if len(sizes) >= FEW else 0
+    reach = np.searchsorted(-sizes, -np.arange(together), side="left").tolist()
+    for t, n in enumerate(reach):
+        crc[:n] = table[(crc[:n] ^ flat[place[:n] + t]) & 255] ^ (crc[:n] >> 8)
+    out = (crc ^ np.uint32(_ALL)).astype(np.int64)
+    for k in np.flatnonzero(sizes > together).tolist():
+        out[k] = crc32c(values[order[k]][together:], int(out[k]))
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def crc32c_col(data: Column, start: Column | None = None) -> Column:
     """``BIGINT`` CRC of bytes; ``start`` continues an earlier one."""
 
     @F.pandas_udf("long")
     def run(values: pd.Series, begin: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else crc32c(bytes(x), int(b)) for x, b in zip(values, begin, strict=True)], dtype="Int64")
+        known = values.notna().to_numpy()
+        out = pd.array([None] * len(values), dtype="Int64")
+        if known.any():
+            out[known] = crc32c_many([bytes(x) for x in values[known]], begin[known].to_numpy(dtype=np.int64))
+        return pd.Series(out)
 
     return run(data, F.lit(0).cast("long") if start is None else start)
 

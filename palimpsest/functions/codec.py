@@ -141,6 +141,12 @@ def internal_key_col(user_key: Column, seq: Column, kind: Column) -> Column:
     return F.concat(user_key, F.unhex(F.lpad(F.hex(checked.cast("long")), 2, "0")), sequence)
 
 
+def lookup_key_col(user_key: Column, snap: Column) -> Column:
+    """Struct (memtable_key, internal_key, user_key): the three views of the key that seeks the newest version visible at ``snap``."""
+    key = internal_key_col(user_key, snap, F.lit(VALUE))
+    return F.struct(sized_col(key).alias("memtable_key"), key.alias("internal_key"), user_key.alias("user_key"))
+
+
 def user_key_col(key: Column) -> Column:
     """An internal key without its tag."""
     return F.substring(key, F.lit(1), F.length(key) - 8)

@@ -6,10 +6,10 @@ from collections.abc import Iterable
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codec import user_key_col
 from palimpsest.functions.hashing import hash32, hash32_col
 
 SEED = 0xBC9F1D34
@@ -98,11 +98,17 @@ def may_match(probes: DataFrame, bits: DataFrame, sizes: DataFrame, policy: Bloo
     return spots.join(bits, [group, "byte"], "left").groupBy(group, "key").agg(F.bool_and(set_).alias("may_match"))
 
 
-def filters(keys: DataFrame, policy: BloomPolicy, group: str = "filter_id") -> DataFrame:
-    """``group, filter``: whole filters as bytes, the form other programs read."""
+def filters(keys: DataFrame, policy: BloomPolicy, group: str = "filter_id", internal: bool = False, hashed: Column | None = None) -> DataFrame:
+    """``group, filter``: whole filters as bytes, the form other programs read; of internal keys only the user key counts.
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [key[0]], "filter": [policy.create(bytes(k) for k in pdf["key"])]})
-
-    kind = keys.schema[group].dataType.simpleString()
-    return keys.select(F.col(group).alias("g"), "key").groupBy("g").applyInPandas(pack, f"g {kind}, filter binary").withColumnRenamed("g", group)
+    The filter's bytes that aren't zero are sorted and the gaps between them filled, without Python.
+    """
+    if internal:
+        keys = keys.withColumn("key", user_key_col(F.col("key")))
+    sizes = keys.groupBy(group).agg(F.greatest(F.lit(64), F.count(F.lit(1)) * policy.bits_per_key).alias("_n")).select(group, F.floor((F.col("_n") + 7) / 8).cast("int").alias("_bytes"))
+    found = build_bits(keys, policy, group, hashed).groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("byte").cast("int").alias("byte"), "mask"))).alias("_f"))
+    before = lambda i: F.when(i > 0, F.get("_f", i - 1)["byte"]).otherwise(-1)
+    zeros = lambda n: F.repeat(F.lit("00"), n.cast("int"))
+    body = F.array_join(F.transform("_f", lambda e, i: F.concat(zeros(e["byte"] - before(i) - 1), F.lpad(F.hex(e["mask"].cast("long")), 2, "0"))), "")
+    last = F.concat(zeros(F.col("_bytes") - F.element_at("_f", -1)["byte"] - 1), F.lit(f"{policy.probes:02X}"))
+    return found.join(sizes, group).select(group, F.unhex(F.concat(body, last)).alias("filter"))

@@ -11,7 +11,9 @@ block, skips the rest of a record that began before it, and reads past its end t
 last record, so a large file is read by many tasks. Reports need one task for each file.
 
 Writing: each task writes one file of its rows' ``payload`` in order; files appear when the job
-commits. Paths are on a file system that all machines mount.
+commits. With the option ``fileColumn``, a task begins a new file, ``<value>.log``, wherever that
+column (a whole number) changes; rows must be sorted by it. Paths are on a file system that all
+machines mount; those of other schemes are refused.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from palimpsest.errors import InvalidArgument
 from palimpsest.functions.checksum import crc32c, mask, unmask
 from palimpsest.functions.codec import fixed, read_fixed
 
@@ -166,7 +170,11 @@ def encode(records: Iterable[bytes], length: int = 0) -> bytes:
 
 
 def local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+    """A path of the mounted file system; other schemes can't be opened here."""
+    path = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+    if "://" in path:
+        raise InvalidArgument(f"{path}: logs and stores need a mounted file system")
+    return path
 
 
 def files(path: str) -> list[str]:
@@ -219,42 +227,72 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    staged: str
-    final: str
+    files: list[tuple[str, str]]  # staged, final
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = local(options["path"]), overwrite
+        self.column = options.get("filecolumn", options.get("fileColumn"))
 
     def write(self, rows) -> Written:
-        os.makedirs(self.path, exist_ok=True)
-        name = uuid.uuid4().hex
         from pyspark import TaskContext
 
-        task = TaskContext.get()
-        final = os.path.join(self.path, f"{task.partitionId() if task else 0:06d}-{name}.log")
-        staged = os.path.join(self.path, f"_{name}.tmp")
-        with open(staged, "wb") as out:
-            writer = RecordWriter(out)
-            for row in rows:
-                writer.add(bytes(row["payload"]))
-            out.flush()
-            os.fsync(out.fileno())
-        return Written(staged, final)
+        os.makedirs(self.path, exist_ok=True)
+        task, done = TaskContext.get(), []
+        number = task.partitionId() if task else 0
+        named = groupby(rows, key=lambda r: r[self.column]) if self.column else [(None, rows)]
+        for value, part in named:
+            unique = uuid.uuid4().hex
+            final = os.path.join(self.path, f"{number:06d}-{unique}.log" if value is None else f"{int(value):06d}.log")
+            staged = os.path.join(self.path, f"_{unique}.tmp")
+            with open(staged, "wb") as out:
+                writer = RecordWriter(out)
+                for row in part:
+                    writer.add(bytes(row["payload"]))
+                out.flush()
+                os.fsync(out.fileno())
+            done.append((staged, final))
+        return Written(done)
 
     def commit(self, messages) -> None:
+        made = [f for m in messages if m is not None for f in m.files]
         old = files(self.path) if self.overwrite else []
-        for m in messages:
-            if m is not None:
-                os.replace(m.staged, m.final)
-        for f in old:
+        for staged, final in made:
+            os.replace(staged, final)
+        for f in set(old) - {final for _, final in made}:
             os.remove(f)
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.staged):
-                os.remove(m.staged)
+            for staged, _ in m.files if m is not None else ():
+                if os.path.exists(staged):
+                    os.remove(staged)
+
+
+class _Window:
+    """A file that ends at ``end``."""
+
+    def __init__(self, source, end: int):
+        self.source, self.end = source, end
+
+    def seek(self, place: int) -> None:
+        self.source.seek(place)
+
+    def read(self, count: int) -> bytes:
+        return self.source.read(max(0, min(count, self.end - self.source.tell())))
+
+
+def _begin(source, place: int) -> int:
+    """Start of the nearest block at or before ``place`` that doesn't begin inside a record."""
+    block = place // BLOCK * BLOCK
+    while block:
+        source.seek(block)
+        head = source.read(HEADER)
+        if len(head) == HEADER and head[6] not in (MIDDLE, LAST):
+            break
+        block -= BLOCK
+    return block
 
 
 class _Tail(DataSourceStreamReader):
@@ -267,21 +305,19 @@ class _Tail(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        # The end of the last whole record, found by reading on from where a file's last block began.
         return {f: os.path.getsize(f) for f in files(self.path)}
 
     def partitions(self, start: dict, end: dict) -> list[Split]:
         return [Split(f, start.get(f, 0), size) for f, size in end.items() if size > start.get(f, 0)]
 
     def read(self, split: Split):
-        # A record belongs to the batch in which its last byte arrived.
+        # A record belongs to the batch in which its last byte arrived. Reading starts at the block
+        # where the record that was unfinished then began, and stops at the batch's end.
         with open(split.path, "rb") as source:
-            whole = io.BytesIO(source.read(split.end))
-        seen_before = io.BytesIO(whole.getbuffer()[: split.start]) if split.start else io.BytesIO()
-        done = sum(1 for _ in RecordReader(seen_before))
-        for i, (offset, payload) in enumerate(RecordReader(whole)):
-            if i >= done:
-                yield split.path, offset, payload
+            found = RecordReader(_Window(source, split.end), _begin(source, split.start))
+            for offset, payload in found:
+                if found.block_end - found.rest > split.start:
+                    yield split.path, offset, payload
 
     def commit(self, end: dict) -> None:
         pass

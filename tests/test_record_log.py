@@ -168,3 +168,46 @@ def test_spark_source(spark, tmp_path):
     assert [r["reason"] for r in report][0] == "checksum mismatch" and {r["path"] for r in report} == {broken}
     df.limit(1).write.format("record_log").mode("overwrite").save(path)
     assert read_().count() == 1
+
+
+def test_tail_reads_from_the_block_of_an_unfinished_record(tmp_path):
+    import random
+
+    rng = random.Random(5)
+    records = [bytes([i % 251]) * rng.choice([0, 3, 500, 32_755, 32_761, 40_000, 100_000]) for i in range(120)]
+    data, path = rl.encode(records), tmp_path / "a.log"
+    tail, seen, at = rl._Tail({"path": str(tmp_path)}), [], 0
+    while at < len(data):
+        stop = min(len(data), at + rng.choice([1, 6, 7, 700, 33_000, 120_000]))
+        path.write_bytes(data[:stop])
+        for split in tail.partitions({str(path): at}, tail.latestOffset()):
+            seen += [payload for _, _, payload in tail.read(split)]
+        at = stop
+    assert seen == records
+
+
+def test_tail_reads_only_what_is_new(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_bytes(rl.encode([b"x" * 1000] * 2000))
+    size = path.stat().st_size
+
+    class Counting:
+        def __init__(self, source):
+            self.source, self.read_bytes = source, 0
+
+        def seek(self, place):
+            self.source.seek(place)
+
+        def tell(self):
+            return self.source.tell()
+
+        def read(self, n):
+            got = self.source.read(n)
+            self.read_bytes += len(got)
+            return got
+
+    with open(path, "rb") as f:
+        counting = Counting(f)
+        begin = rl._begin(counting, size - 5000)
+        list(rl.RecordReader(rl._Window(counting, size), begin))
+        assert counting.read_bytes < 4 * rl.BLOCK

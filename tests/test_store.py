@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.errors import Corruption, NotFound, StoreIOError
+from palimpsest.errors import Corruption, InvalidArgument, NotFound, StoreIOError
 from palimpsest.functions.codec import fixed
 from palimpsest.operators import batch as wb
 from palimpsest.operators import bloom
@@ -168,7 +168,8 @@ def test_bloom_in_spark(spark):
 
 def test_store(spark, tmp_path):
     path = str(tmp_path / "db")
-    with Store.open(spark, path) as store:
+    store = Store.open(spark, path)
+    if store:
         with pytest.raises(StoreIOError):
             Store.open(spark, path)
         store.put(b"a", b"1")
@@ -182,10 +183,45 @@ def test_store(spark, tmp_path):
         assert store.last == 5
         RecordWriter(store._log, store.env.size(store.log_path)).add(WriteBatch([(b"late", b"v")], 6).contents())
         store._log.write(encode([b"cut short"])[:-3])
+        store.abandon()
     with Store.open(spark, path) as store:
         assert store.get(b"late") == b"v" and store.last == 6
 
 
+def test_store_buffers_and_cuts_its_log(spark, tmp_path, monkeypatch):
+    from palimpsest.operators import store as module
+
+    monkeypatch.setattr(module, "FLUSH_OPS", 5)
+    path = tmp_path / "db"
+    with Store.open(spark, str(path)) as store:
+        for i in range(12):
+            store.put(f"k{i}".encode(), b"v")
+        # two files for ten operations, the last two only in the buffer and the new log
+        assert len(list((path / "versions").glob("*.parquet"))) == 2 and store.versions().df.count() == 12
+        assert [p.name for p in path.glob("*.log")] == ["000003.log"] and (path / "CURRENT").read_text() == "MANIFEST-3\n"
+        store.ingest(spark.createDataFrame([(0, 1, b"big", b"load")], "op_index long, type int, user_key binary, value binary"))
+        store.put(b"late", b"x")
+        store.flush = lambda: None  # a crash: the buffer isn't moved
+    again = Store.open(spark, str(path))
+    assert again.last == 14 and again.get(b"late") == b"x" and again.get(b"big") == b"load" and again.versions().df.count() == 14
+    again.close()
+
+
+def test_store_frees_its_lock_when_opening_fails(spark, tmp_path):
+    path = tmp_path / "db"
+    Store.open(spark, str(path)).close()
+    (path / "CURRENT").write_text("nonsense")
+    with pytest.raises(Corruption):
+        Store.open(spark, str(path))
+    (path / "CURRENT").write_text("MANIFEST-1\n")
+    Store.open(spark, str(path)).close()
+
+
+def test_other_schemes_are_refused(spark):
+    with pytest.raises(InvalidArgument):
+        Store(spark, "hdfs://host/db")
+
+
 def test_files(tmp_path):
     env, db = Env(), str(tmp_path)
     set_current(env, db, 3)
