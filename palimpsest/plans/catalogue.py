@@ -8,17 +8,21 @@ operators over the version table that the survey's core doesn't have.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import errors
+from palimpsest.errors import NotFound, StoreError
 from palimpsest.functions import checksum, codec, hashing, naming, ordering
-from palimpsest.operators import batch, bloom
+from palimpsest.operators import batch, bloom, ranges
 from palimpsest.operators.store import Store
 from palimpsest.operators.versions import VersionTable
-from palimpsest.sources import record_log
+from palimpsest.sources import fsenv, record_log
+from palimpsest.sources.fsenv import Env
 from palimpsest.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,12 +109,13 @@ def multi_get_asof(spark, sf_dir):
     return _versions(spark, sf_dir).multi_get(_lookups(spark, sf_dir))
 
 
-@query(f"""WITH {V}, E AS (SELECT user_key, seq, type FROM V WHERE seq % 10 = 0 UNION ALL SELECT user_key, seq + 1, type FROM V WHERE seq % 10 = 1)
+@query(f"""WITH {V}, E AS (SELECT user_key, seq, type FROM V UNION ALL SELECT user_key, seq + 1, type FROM V UNION ALL SELECT user_key, seq, 1 - type FROM V)
   SELECT user_key, seq, type FROM E WHERE EXISTS (SELECT 1 FROM V WHERE V.user_key = E.user_key AND V.seq = E.seq AND V.type = E.type)""")
 def exact_contains(spark, sf_dir):
+    """Every row is asked for, with its own sequence, with the next one, and with the other type."""
     table = _versions(spark, sf_dir)
     keys = table.df.select("user_key", "seq", "type")
-    asked = keys.filter("seq % 10 = 0").unionAll(keys.filter("seq % 10 = 1").withColumn("seq", F.col("seq") + 1))
+    asked = keys.unionAll(keys.withColumn("seq", F.col("seq") + 1)).unionAll(keys.withColumn("type", 1 - F.col("type")))
     return table.contains(asked)
 
 
@@ -203,12 +208,13 @@ def batch_apply(spark, sf_dir):
     return batch.apply(_ops(spark, sf_dir), 1000)
 
 
-@query(f"""WITH {V}, n AS (SELECT max(seq) + 1 AS n FROM V WHERE seq < 100)
-  SELECT seq AS op_index, type, user_key, value FROM V WHERE seq < 100 UNION ALL
-  SELECT seq - 200 + n AS op_index, type, user_key, value FROM V, n WHERE seq >= 200 AND seq < 300""")
+@query(f"""WITH {V}, n AS (SELECT count(*) FILTER (WHERE type = 1) AS n FROM V)
+  SELECT row_number() OVER (PARTITION BY type ORDER BY seq) - 1 + CASE WHEN type = 1 THEN 0 ELSE n END AS op_index, type, user_key, value FROM V, n""")
 def batch_append(spark, sf_dir):
+    """A batch of all deletions after a batch of all puts."""
     ops = _ops(spark, sf_dir)
-    return batch.append(ops.filter("op_index < 100"), ops.filter("op_index >= 200 and op_index < 300").withColumn("op_index", F.col("op_index") - 200))
+    half = lambda kind: ranges.numbered(ops.filter(F.col("type") == kind), [F.col("op_index")], "_n").select((F.col("_n") - 1).alias("op_index"), "type", "user_key", "value")
+    return batch.append(half(1), half(0))
 
 
 _VARLEN = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 ELSE 4 END"
@@ -256,7 +262,27 @@ def hash_fixed32(spark, sf_dir):
     return _ids(spark, sf_dir).select("id", hashing.hash_fixed32_col(F.col("id"), bloom.SEED).alias("h"))
 
 
-@query()
+def _bytes(text: str) -> str:
+    """The bytes of a text as a list of numbers."""
+    return f"list_transform(range(0, octet_length(encode({text}))::BIGINT), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+
+
+#: CRC by its definition, a table of 256 remainders and a step for each byte.
+_CRC_TABLE = """T AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 2197175160)) ORDER BY n) AS t FROM range(256) r(n))"""
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+_HASH_STEP = "((((h + w) % 4294967296)::HUGEINT * 3332679571) % 4294967296)::BIGINT"
+
+
+@query(f"""WITH B AS (SELECT event_id AS id, {_bytes('props')} AS b FROM events),
+  W AS (SELECT id, b, len(b) AS n, list_transform(range(0, len(b) // 4), lambda k: b[4 * k + 1] + 256 * b[4 * k + 2] + 65536 * b[4 * k + 3] + 16777216 * b[4 * k + 4]) AS words FROM B),
+  S AS (SELECT *, list_reduce(list_prepend(xor(3164544308, ((3332679571::HUGEINT * n) % 4294967296)::BIGINT), words), lambda h, w: xor({_HASH_STEP}, ({_HASH_STEP}) >> 16)) AS h,
+    coalesce(b[n // 4 * 4 + 1], 0) + 256 * coalesce(b[n // 4 * 4 + 2], 0) + 65536 * coalesce(b[n // 4 * 4 + 3], 0) AS w FROM W)
+  SELECT id, CASE WHEN n % 4 = 0 THEN h ELSE xor({_HASH_STEP}, ({_HASH_STEP}) >> 24) END AS h FROM S""")
 def hash_bytes(spark, sf_dir):
     return _events(spark, sf_dir).select(F.col("event_id").alias("id"), hashing.hash32_col(F.col("props").cast("binary"), bloom.SEED).alias("h"))
 
@@ -311,11 +337,50 @@ def size_prefixed_roundtrip(spark, sf_dir):
     return _events(spark, sf_dir).select(F.col("event_id").alias("id"), read.alias("r")).select("id", F.col("r.slice").cast("string").alias("body"), F.col("r.used").alias("used"))
 
 
-@query()
+@query(f"WITH {_CRC_TABLE} SELECT event_id AS id, {_crc(_bytes('props'))} AS crc FROM events, T")
 def crc32c_values(spark, sf_dir):
     return _events(spark, sf_dir).select(F.col("event_id").alias("id"), checksum.crc32c_col(F.col("props").cast("binary")).alias("crc"))
 
 
+@query(f"WITH {_CRC_TABLE} SELECT event_id AS id, {_crc(_bytes('event_type || props'))} AS crc FROM events, T")
+def crc32c_continued(spark, sf_dir):
+    """The CRC of one text continued over another is that of both together."""
+    kind, props = F.col("event_type").cast("binary"), F.col("props").cast("binary")
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id"), checksum.crc32c_col(props, checksum.crc32c_col(kind)).alias("crc"))
+
+
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 3 THEN 4294967295 END::BIGINT AS bad_value, CASE event_id % 4 WHEN 3 THEN 5 END::INT AS bad_used,
+  event_id * 7919 % 4294967296 AS v, CASE WHEN event_id * 7919 % 4294967296 < 128 THEN 1 WHEN event_id * 7919 % 4294967296 < 16384 THEN 2 WHEN event_id * 7919 % 4294967296 < 2097152 THEN 3
+  WHEN event_id * 7919 % 4294967296 < 268435456 THEN 4 ELSE 5 END::INT AS used FROM events""")
+def varint32_decode(spark, sf_dir):
+    """Good 32-bit forms, and bytes that are missing, cut short, too long, or whose last byte has bits beyond 32 (those are lost)."""
+    kind = F.col("id") % 4
+    bad = F.unhex(F.when(kind == 0, "").when(kind == 1, "8180").when(kind == 2, "818283848511").otherwise("FFFFFFFF7F"))
+    good = codec.varint_col(F.col("id") * 7919 % 4294967296)
+    rows = _ids(spark, sf_dir).select("id", codec.read_varint_col(bad, 32).alias("b"), codec.read_varint_col(F.concat(good, F.lit(b"\x05")), 32).alias("g"))
+    return rows.select("id", F.col("b.value").cast("long").alias("bad_value"), F.col("b.used").alias("bad_used"), F.col("g.value").cast("long").alias("v"), F.col("g.used").alias("used"))
+
+
+@query(f"""WITH {V}, K AS (SELECT user_key, seq, hex(encode(user_key)) || '01' || {_le('seq', 7)} AS ikey FROM V)
+  SELECT seq, printf('%02X', length(ikey) // 2) || ikey AS memtable_key, ikey AS internal_key, user_key FROM K""")
+def lookup_key_views(spark, sf_dir):
+    rows = _versions(spark, sf_dir).df.select("seq", codec.lookup_key_col(F.col("user_key").cast("binary"), F.col("seq")).alias("k"))
+    return rows.select("seq", F.hex("k.memtable_key").alias("memtable_key"), F.hex("k.internal_key").alias("internal_key"), F.col("k.user_key").cast("string").alias("user_key"))
+
+
+@query("""WITH RECURSIVE R AS (SELECT 1 AS n, 301::BIGINT * 16807 % 2147483647 AS x UNION ALL SELECT n + 1, x * 16807 % 2147483647 FROM R WHERE n < 1000)
+  SELECT n, x, x % 17 AS below_17, x % 5 = 0 AS one_in_5 FROM R""")
+def random_sequence(spark, sf_dir):
+    """The generator of the fixtures: it is seeded with a number and reads no table."""
+    rows = []
+    for n in range(1, 1001):
+        x = hashing.Random(301 if n == 1 else rows[-1][1])
+        y = hashing.Random(x.state)
+        z = hashing.Random(x.state)
+        rows.append((n, x.next(), y.uniform(17), z.one_in(5)))
+    return spark.createDataFrame(rows, "n int, x long, below_17 long, one_in_5 boolean")
+
+
 @query("SELECT event_id AS id, (event_id * 2654435761) % 4294967296 AS v, true AS changed FROM events")
 def crc32c_mask_unmask(spark, sf_dir):
     rows = _ids(spark, sf_dir).withColumn("v", F.col("id") * 2654435761 % 4294967296)
@@ -348,23 +413,49 @@ def _probe(spark, sf_dir, shift: int) -> DataFrame:
     return bloom.may_match(asked, bits, sizes, policy)
 
 
-@query(f"WITH {_HASHED} SELECT filter_id, count(*) AS keys, count(*) AS matches FROM H GROUP BY 1")
+def _probed(shift: int) -> str:
+    """DuckDB: each key, moved by ``shift``, and whether all of its bits are set in its filter."""
+    moved = _HASHED.replace("H AS", "PH AS").replace("S AS", "PS AS").replace("B AS", "PB AS").replace("FROM H", "FROM PH").replace("JOIN S", "JOIN S").replace("2785903480 + event_id", f"2785903480 + event_id + {shift}")
+    moved = moved.replace("PS AS (SELECT filter_id, ((greatest(64, count(*) * 10) + 7) // 8 * 8)::BIGINT AS bits FROM PH GROUP BY 1),\n", "").replace("SELECT event_id AS id, event_id % 16", f"SELECT event_id + {shift} AS id, event_id % 16")
+    return f"WITH {_HASHED}, {moved}, U AS (SELECT DISTINCT filter_id, bit FROM B), M AS (SELECT PB.filter_id, id, bool_and(U.bit IS NOT NULL) AS hit FROM PB LEFT JOIN U USING (filter_id, bit) GROUP BY 1, 2)"
+
+
+@query(_probed(0) + " SELECT filter_id, count(*) AS keys, count_if(hit) AS matches FROM M GROUP BY 1")
 def bloom_may_match(spark, sf_dir):
     """No key of a filter is missed."""
     return _probe(spark, sf_dir, 0).groupBy("filter_id").agg(F.count(F.lit(1)).alias("keys"), F.count_if("may_match").alias("matches"))
 
 
+@query(_probed(1_000_000_000) + " SELECT filter_id, id - 1000000000 AS id, hit AS may_match FROM M")
+def bloom_absent_keys(spark, sf_dir):
+    """Each absent key and whether its filter takes it for a member, bit by bit."""
+    found = _probe(spark, sf_dir, 1_000_000_000)
+    return found.select("filter_id", (codec.read_fixed_col(F.col("key"), 4).cast("long") - 1_000_000_000).alias("id"), "may_match")
+
+
 @query("SELECT true AS within_bound FROM (SELECT 1)")
 def bloom_fpr(spark, sf_dir):
     """Absent keys match in 2 of 100 cases at most."""
     return _probe(spark, sf_dir, 1_000_000_000).agg((F.avg(F.col("may_match").cast("double")) <= 0.02).alias("within_bound"))
 
 
-@query()
+_WHOLE = f"""WITH {_HASHED}, M AS (SELECT filter_id, bit // 8 AS byte, bit_or((1 << (bit % 8)::INT)::INT)::INT AS mask FROM B GROUP BY 1, 2),
+  G AS (SELECT filter_id, unnest(range(0, bits // 8)) AS byte FROM S)
+  SELECT filter_id, string_agg(printf('%02X', coalesce(mask, 0)), '' ORDER BY byte) || '06' AS filter FROM G LEFT JOIN M USING (filter_id, byte) GROUP BY 1"""
+
+
+@query(_WHOLE)
 def bloom_filters(spark, sf_dir):
     return bloom.filters(_filter_keys(spark, sf_dir).select("filter_id", "key"), bloom.BloomPolicy()).select("filter_id", F.hex("filter").alias("filter"))
 
 
+@query(_WHOLE)
+def bloom_internal_keys(spark, sf_dir):
+    """Filters over internal keys look at the user key only."""
+    keys = _filter_keys(spark, sf_dir).select("filter_id", codec.internal_key_col(F.col("key"), F.col("id"), F.lit(1)).alias("key"))
+    return bloom.filters(keys, bloom.BloomPolicy(), internal=True).select("filter_id", F.hex("filter").alias("filter"))
+
+
 # ---- separators ----
 
 
@@ -390,7 +481,14 @@ def short_successor(spark, sf_dir):
     return pages.select("page_id", ordering.successor_col(F.col("url").cast("binary")).cast("string").alias("successor"))
 
 
-@query()
+_OLD_TAG, _NEW_TAG = "0164000000000000", "01FFFFFFFFFFFFFF"
+
+
+@query(f"""WITH P AS (SELECT p.page_id, p.url AS a, q.url AS b, list_min(list_filter(range(1, least(length(p.url), length(q.url)) + 1), lambda i: substr(p.url, i, 1) <> substr(q.url, i, 1)))::INT AS d
+  FROM pages p JOIN pages q ON q.page_id = p.page_id + 1)
+  SELECT page_id, CASE WHEN d IS NOT NULL AND ascii(substr(a, d, 1)) + 1 < ascii(substr(b, d, 1)) AND d < length(a)
+  THEN hex(encode(substr(a, 1, d - 1) || chr((ascii(substr(a, d, 1)) + 1)::INT))) || '{_NEW_TAG}' ELSE hex(encode(a)) || '{_OLD_TAG}' END AS separator,
+  CASE WHEN length(a) > 1 THEN hex(encode(chr((ascii(a) + 1)::INT))) || '{_NEW_TAG}' ELSE hex(encode(a)) || '{_OLD_TAG}' END AS successor FROM P""")
 def internal_separator(spark, sf_dir):
     ikey = lambda c: codec.internal_key_col(F.col(c).cast("binary"), F.lit(100).cast("long"), F.lit(1))
     rows = _neighbour_keys(spark, sf_dir)
@@ -419,17 +517,110 @@ def log_roundtrip(spark, sf_dir):
     return read.select(F.col("payload").cast("string").alias("payload"))
 
 
-@query()
+#: Records of one size, so that 64 of them fill a block and every offset follows from the record's number.
+_FRAME, _PER_FILE = 512, 1000
+
+
+def _gridded(spark, sf_dir) -> str:
+    """A folder of logs, one for every thousand events, of records that take 512 bytes each."""
+    record_log.register(spark)
+    path = _scratch(spark, "grid")
+    body = F.rpad(F.concat_ws(":", F.col("event_id").cast("string"), F.col("props")), _FRAME - record_log.HEADER, ".")
+    rows = _events(spark, sf_dir).select(body.cast("binary").alias("payload"), F.floor(F.col("event_id") / _PER_FILE).cast("long").alias("file"), "event_id")
+    rows.repartition("file").sortWithinPartitions("file", "event_id").select("payload", "file").write.format("record_log").option("fileColumn", "file").mode("append").save(path)
+    return path
+
+
+def _file(path: str = "path"):
+    return F.regexp_extract(F.col(path), r"([0-9]+)\.log$", 1).cast("long")
+
+
+def _damage(spark, path: str) -> str:
+    """Spoil the logs of :func:`_gridded` by their number, each on its own: a byte of record 10, the length of record 70, the type of record 5 (with a checksum that fits), nothing."""
+
+    def spoil(parts):
+        import pandas as pd
+
+        for pdf in parts:
+            for name, number in zip(pdf["path"], pdf["number"], strict=True):
+                with open(name, "r+b") as f:
+                    if number % 4 == 0:
+                        f.seek(10 * _FRAME + 20)
+                        byte = f.read(1)
+                        f.seek(10 * _FRAME + 20)
+                        f.write(bytes([byte[0] ^ 1]))
+                    elif number % 4 == 1:
+                        f.seek(70 * _FRAME + 4)
+                        f.write(b"\xff\xff")
+                    elif number % 4 == 2:
+                        f.seek(5 * _FRAME + record_log.HEADER)
+                        payload = f.read(_FRAME - record_log.HEADER)
+                        f.seek(5 * _FRAME)
+                        f.write(codec.fixed(checksum.mask(checksum.crc32c(b"\x07" + payload)), 4) + codec.fixed(len(payload), 2) + b"\x07")
+            yield pd.DataFrame({"done": [len(pdf)]})
+
+    names = spark.createDataFrame([(f, naming.parse(os.path.basename(f))[0]) for f in record_log.files(path)], "path string, number long")
+    names.repartition("number").mapInPandas(spoil, "done long").write.format("noop").mode("overwrite").save()
+    return path
+
+
+_GRID = f"""G AS (SELECT event_id, event_id // {_PER_FILE} AS file, (row_number() OVER (PARTITION BY event_id // {_PER_FILE} ORDER BY event_id) - 1) AS n FROM events),
+  N AS (SELECT file, count(*) AS n FROM G GROUP BY 1)"""
+
+
+def _read_log(spark, path: str, **options):
+    read = spark.read.format("record_log").options(**options).load(path)
+    return read.select(F.substring_index(F.col("payload").cast("string"), ":", 1).cast("long").alias("event_id"), _file().alias("file"), "record_offset")
+
+
+@query(f"WITH {_GRID} SELECT event_id, file, n * {_FRAME} AS record_offset FROM G")
+def log_record_offsets(spark, sf_dir):
+    """Where each record begins in its file; a file is read by several tasks."""
+    return _read_log(spark, _gridded(spark, sf_dir), splitBlocks="3")
+
+
+@query(f"WITH {_GRID} SELECT event_id, file, n * {_FRAME} AS record_offset FROM G WHERE n * {_FRAME} >= 40000")
 def log_read_from_offset(spark, sf_dir):
-    read = spark.read.format("record_log").option("initialOffset", "40000").load(_logged(spark, sf_dir))
-    return read.select(F.col("payload").cast("string").alias("payload"))
+    """Reading begins with the first record at or after the offset, in the offset's own block."""
+    return _read_log(spark, _gridded(spark, sf_dir), initialOffset="40000", splitBlocks="3")
 
 
-@query("SELECT 0::BIGINT AS files_with_loss")
+@query(f"WITH {_GRID} SELECT event_id, file, n * {_FRAME} AS record_offset FROM G WHERE n * {_FRAME} >= 65536")
+def log_read_from_block_end(spark, sf_dir):
+    """An offset where no header fits its block any more begins with the next block."""
+    return _read_log(spark, _gridded(spark, sf_dir), initialOffset=str(2 * 32768 - 5))
+
+
+@query(f"""WITH {_GRID} SELECT file, CASE file % 4 WHEN 0 THEN 32768 - 10 * 512 WHEN 1 THEN 2 * 32768 - 70 * 512 ELSE 512 - 7 END::BIGINT AS bytes,
+  CASE file % 4 WHEN 0 THEN 'checksum mismatch' WHEN 1 THEN 'bad record length' ELSE 'unknown record type 7' END AS reason FROM N WHERE file % 4 <> 3""")
 def log_corruption_report(spark, sf_dir):
-    """A log that was written whole reports nothing; tests damage logs."""
-    read = spark.read.format("record_log").option("mode", "corruptions").load(_logged(spark, sf_dir))
-    return read.agg(F.count_distinct("path").alias("files_with_loss"))
+    """What is reported lost of damaged logs: the rest of a block, or one record."""
+    path = _damage(spark, _gridded(spark, sf_dir))
+    read = spark.read.format("record_log").option("mode", "corruptions").load(path)
+    return read.select(_file().alias("file"), "bytes", "reason")
+
+
+_LOST = "CASE file % 4 WHEN 0 THEN n BETWEEN 10 AND 63 WHEN 1 THEN n BETWEEN 70 AND 127 WHEN 2 THEN n = 5 ELSE FALSE END"
+
+
+@query(f"WITH {_GRID} SELECT event_id, file, n * {_FRAME} AS record_offset FROM G WHERE NOT ({_LOST})")
+def log_read_damaged(spark, sf_dir):
+    """Records that can still be read of damaged logs; each task finds the next whole record by itself."""
+    return _read_log(spark, _damage(spark, _gridded(spark, sf_dir)), splitBlocks="2")
+
+
+@query(f"WITH {_GRID} SELECT event_id, file, n * {_FRAME} AS record_offset FROM G WHERE file % 4 = 0 OR NOT ({_LOST})")
+def log_read_unchecked(spark, sf_dir):
+    """Without checking, a spoilt byte of a payload loses nothing (it isn't in the part that is read here)."""
+    return _read_log(spark, _damage(spark, _gridded(spark, sf_dir)), checksum="false")
+
+
+@query(f"""WITH {_GRID} SELECT file, (2 * 32768 - 70 * 512)::BIGINT AS bytes, 'bad record length' AS reason FROM N WHERE file % 4 = 1""")
+def log_corruption_report_from_offset(spark, sf_dir):
+    """What was lost before the offset isn't reported."""
+    path = _damage(spark, _gridded(spark, sf_dir))
+    read = spark.read.format("record_log").options(mode="corruptions", initialOffset="32768").load(path)
+    return read.select(_file().alias("file"), "bytes", "reason")
 
 
 # ---- file names ----
@@ -458,6 +649,161 @@ def make_file_name(spark, sf_dir):
     return _ids(spark, sf_dir).select((F.col("id") + 1).alias("id"), *[naming.numbered_col("db", F.col("id") + 1, s).alias(n) for n, s in made.items()])
 
 
+@query("""SELECT * FROM (VALUES ('db/CURRENT', 'current', 0), ('db/LOCK', 'lock', 0), ('db/LOG', 'info_log', 0), ('db/LOG.old', 'info_log', 0),
+  ('db/MANIFEST-12', 'descriptor', 12), ('db/000012.dbtmp', 'temp', 12)) AS t(name, file_type, number)""")
+def fixed_file_names(spark, sf_dir):
+    """The names that aren't numbered, built and parsed; they belong to no table."""
+    made = [naming.current_name("db"), naming.lock_name("db"), naming.info_log_name("db"), naming.old_info_log_name("db"), naming.descriptor_name("db", 12), naming.temp_name("db", 12)]
+    rows = spark.createDataFrame([(n,) for n in made], "name string").withColumn("p", naming.parse_col(F.substring_index("name", "/", -1)))
+    return rows.select("name", F.col("p.file_type").alias("file_type"), F.col("p.number").cast("int").alias("number"))
+
+
+# ---- environment ----
+
+
+@query("""SELECT n_nationkey AS number, 'MANIFEST-' || (n_nationkey + 1) || chr(10) AS current, 'CURRENT' AS files,
+  'InvalidArgument' AS zero, 'NotFound' AS nowhere FROM nation""")
+def set_current(spark, sf_dir):
+    """CURRENT after it was pointed at a descriptor, the files that are left, and how number 0 and a missing folder fail."""
+    env, base, rows = Env(), _scratch(spark, "current"), []
+
+    def fails(db, number):
+        try:
+            fsenv.set_current(env, db, number)
+        except StoreError as error:
+            return error.code
+        return "none"
+
+    for (key,) in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect():  # 25 rows at every size
+        db = os.path.join(base, str(key))
+        env.create_dir(db)
+        fsenv.set_current(env, db, 7)
+        fsenv.set_current(env, db, int(key) + 1)
+        with env.open_sequential(naming.current_name(db)) as source:
+            rows.append((key, source.read().decode(), ",".join(env.children(db)), fails(db, 0), fails(db + "-none", 3)))
+    return spark.createDataFrame(rows, "number int, current string, files string, zero string, nowhere string")
+
+
+@query("""SELECT n_name || '.txt' AS name, length(n_name) + 2 AS size, n_name || ' 2' AS content, substr(n_name, 2, 3) AS part, false AS old_exists FROM nation WHERE n_nationkey <> 3""")
+def environment_files(spark, sf_dir):
+    """Files written, appended to, renamed, removed, listed, sized and read through the environment, one for each nation."""
+    env, db = Env(), _scratch(spark, "env")
+    names = {r.n_name: r.n_nationkey for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()}  # 25 rows at every size
+    env.create_dir(os.path.join(db, "empty"))
+    env.remove_dir(os.path.join(db, "empty"))
+    for name, key in names.items():
+        path = os.path.join(db, f"{key}.part")
+        if key % 2:
+            env.write_file(path, name.encode(), sync=True)
+        else:
+            with env.open_writable(path) as out:
+                out.write(name.encode())
+                env.sync(out)
+        with env.open_appendable(path) as out:
+            out.write(b" 2")
+        env.rename(path, os.path.join(db, f"{name}.txt"))
+        if key == 3:
+            env.remove(os.path.join(db, f"{name}.txt"))
+    rows = []
+    for child in env.children(db):
+        path = os.path.join(db, child)
+        with env.open_sequential(path) as source, env.open_random(path) as random:
+            rows.append((child, env.size(path), source.read().decode(), env.read_at(random, 1, 3).decode(), env.exists(os.path.join(db, f"{names[child[:-4]]}.part"))))
+    return spark.createDataFrame(rows, "name string, size long, content string, part string, old_exists boolean")
+
+
+@query("""SELECT * FROM (VALUES ('read missing', 'NotFound'), ('list missing', 'NotFound'), ('size missing', 'NotFound'), ('remove missing', 'NotFound'), ('read folder', 'IOError'),
+  ('write in missing', 'NotFound'), ('lock twice', 'IOError'), ('lock again', 'none'), ('log lines', '3'), ('log stamp', 'true')) AS t(what, outcome)""")
+def environment_faults(spark, sf_dir):
+    """How faults are named, that a lock excludes, and what a logger writes; no table is read."""
+    env, db = Env(), _scratch(spark, "faults")
+    held = env.lock(naming.lock_name(db))
+    gone = os.path.join(db, "missing")
+
+    def outcome(act) -> str:
+        try:
+            act()
+        except StoreError as error:
+            return error.code
+        return "none"
+
+    rows = [
+        ("read missing", outcome(lambda: env.open_sequential(gone))), ("list missing", outcome(lambda: env.children(gone))), ("size missing", outcome(lambda: env.size(gone))), ("remove missing", outcome(lambda: env.remove(gone))),
+        ("read folder", outcome(lambda: env.open_sequential(db))), ("write in missing", outcome(lambda: env.write_file(os.path.join(gone, "f"), b"x"))), ("lock twice", outcome(lambda: env.lock(naming.lock_name(db)))),
+    ]
+    env.unlock(held)
+    rows.append(("lock again", outcome(lambda: env.unlock(env.lock(naming.lock_name(db))))))
+    log = env.logger(naming.info_log_name(db))
+    for i in range(3):
+        log.log(f"message {i}")
+    log.close()
+    with env.open_sequential(naming.info_log_name(db)) as source:
+        lines = source.read().decode().splitlines()
+    stamped = all(re.fullmatch(rf"\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{{6}} \d+ message {i}", x) for i, x in enumerate(lines))
+    rows += [("log lines", str(len(lines))), ("log stamp", str(stamped).lower())]
+    return spark.createDataFrame(rows, "what string, outcome string")
+
+
+@query("""SELECT * FROM (VALUES ('NotFound', 'NotFound: x'), ('Corruption', 'Corruption: x'), ('NotSupported', 'NotSupported: x'), ('InvalidArgument', 'InvalidArgument: x'), ('IOError', 'IOError: x')) AS t(code, shown)""")
+def error_codes(spark, sf_dir):
+    kinds = [errors.NotFound, errors.Corruption, errors.NotSupported, errors.InvalidArgument, errors.StoreIOError]
+    return spark.createDataFrame([(k.code, str(k("x"))) for k in kinds], "code string, shown string")
+
+
+@query("SELECT * FROM (VALUES ('order', 'palimpsest.bytewise'), ('internal order', 'palimpsest.internal'), ('filter', 'palimpsest.bloom'), ('internal filter', 'palimpsest.bloom')) AS t(what, name)")
+def policy_names(spark, sf_dir):
+    policy = bloom.BloomPolicy()
+    rows = [("order", ordering.Bytewise().name), ("internal order", ordering.InternalOrder().name), ("filter", policy.name), ("internal filter", bloom.InternalKeyPolicy(policy).name)]
+    return spark.createDataFrame(rows, "what string, name string")
+
+
+@query("SELECT 0::BIGINT AS bytes, 0::BIGINT AS entries, 0::BIGINT AS first, 0::BIGINT AS sought, 'ABSENT' AS status")
+def new_table(spark, sf_dir):
+    """An empty table: a cursor on it stands nowhere, and a key is absent."""
+    table = VersionTable.empty(spark)
+    row = (table.memory_usage().first()["bytes"], table.history().count(), table.first().count(), table.seek(b"k").count(), table.get(b"k").first()["status"])
+    return spark.createDataFrame([row], "bytes long, entries long, first long, sought long, status string")
+
+
+@query(f"""WITH {V}, N AS (SELECT seq, seq // 500 AS batch_id, user_key, type, value, row_number() OVER (PARTITION BY seq // 500 ORDER BY seq DESC) AS back FROM V)
+  SELECT batch_id, count_if(type = 1) AS puts, count_if(type = 0) AS deletes, count_if(type = 1 AND back > 1) AS kept_puts, count_if(type = 0 AND back > 1) AS kept_deletes,
+  arg_max(CASE type WHEN 1 THEN 'Corruption: bad WriteBatch Put' ELSE 'Corruption: bad WriteBatch Delete' END, seq) AS fault, 0 AS cleared FROM N GROUP BY 1""")
+def batch_handlers(spark, sf_dir):
+    """What a handler is told of each encoded batch, whole and cut by one byte (then the last operation is lost), and of a cleared one."""
+
+    def tell(parts):
+        import pandas as pd
+
+        class Count:
+            def __init__(self):
+                self.puts = self.deletes = 0
+
+            def put(self, key, value):
+                self.puts += 1
+
+            def delete(self, key):
+                self.deletes += 1
+
+        for pdf in parts:
+            rows = []
+            for number, data in zip(pdf["batch_id"], pdf["contents"], strict=True):
+                whole, cut, none = Count(), Count(), Count()
+                full = batch.WriteBatch.from_contents(bytes(data))
+                full.iterate(whole)
+                batch.WriteBatch.from_contents(bytes(data)[:-1], lenient=True).iterate(cut)
+                try:
+                    batch.WriteBatch.from_contents(bytes(data)[:-1])
+                    fault = "none"
+                except StoreError as error:
+                    fault = str(error)
+                full.clear()
+                full.iterate(none)
+                rows.append((number, whole.puts, whole.deletes, cut.puts, cut.deletes, fault, none.puts + none.deletes + full.count))
+            yield pd.DataFrame(rows, columns=["batch_id", "puts", "deletes", "kept_puts", "kept_deletes", "fault", "cleared"])
+
+    return _coded(spark, sf_dir).select("batch_id", "contents").mapInPandas(tell, "batch_id long, puts long, deletes long, kept_puts long, kept_deletes long, fault string, cleared int")
+
+
 # ---- the store (intent) ----
 
 
@@ -472,15 +818,35 @@ def store_put_get_delete(spark, sf_dir):
     return live_rows.select(F.col("user_key").cast("string").alias("user_key"), "seq", F.col("value").cast("string").alias("value"))
 
 
+@query(f"""WITH {V}, A AS (SELECT user_key AS key FROM (SELECT DISTINCT user_key FROM V) WHERE user_key IN ('3', '7', '11') UNION ALL SELECT 'nobody' UNION ALL SELECT 'new'),
+  L AS (SELECT user_key, type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, type DESC) AS rn FROM V) WHERE rn = 1)
+  SELECT key, CASE WHEN key = '7' THEN 'NotFound: deleted' WHEN key = 'new' THEN 'found' WHEN L.type IS NULL THEN 'NotFound: no such key' WHEN L.type = 0 THEN 'NotFound: deleted' ELSE 'found' END AS outcome,
+  CASE WHEN key = 'new' THEN 'fresh' WHEN key = '7' THEN NULL ELSE L.value END AS value FROM A LEFT JOIN L ON A.key = L.user_key""")
+def store_get(spark, sf_dir):
+    """Point lookups in an opened store: found, deleted in the table, deleted in the buffer, put in the buffer, absent."""
+    with Store.open(spark, _scratch(spark, "store")) as store:
+        store.ingest(_ops(spark, sf_dir))
+        store.delete(b"7")
+        store.put(b"new", b"fresh")
+        rows = []
+        for key in ("3", "7", "11", "nobody", "new"):
+            try:
+                rows.append((key, "found", store.get(key.encode()).decode()))
+            except NotFound as error:
+                rows.append((key, str(error), None))
+    return spark.createDataFrame(rows, "key string, outcome string, value string")
+
+
 @query("SELECT 'a' AS user_key, 3::BIGINT AS seq, 'two' AS value UNION ALL SELECT 'c', 5, 'three'")
 def store_recover_from_log(spark, sf_dir):
     """Batches that reached the log but not the table are there after the store is opened again."""
     path = _scratch(spark, "store")
-    with Store.open(spark, path) as store:
-        store.write(batch.WriteBatch().put(b"a", b"one").put(b"b", b"x"))
-        for later in (batch.WriteBatch([(b"a", b"two"), (b"b", None)], 3), batch.WriteBatch([(b"c", b"three")], 5)):
-            store._writer.add(later.contents())
-        store._log.flush()
+    store = Store.open(spark, path)
+    store.write(batch.WriteBatch().put(b"a", b"one").put(b"b", b"x"))
+    store.flush()
+    store.write(batch.WriteBatch().put(b"a", b"two").delete(b"b"))
+    store.write(batch.WriteBatch().put(b"c", b"three"))
+    store.abandon()
     with Store.open(spark, path) as store:
         found = store.snapshot()
     return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", F.col("value").cast("string").alias("value"))

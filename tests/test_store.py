@@ -169,21 +169,20 @@ def test_bloom_in_spark(spark):
 def test_store(spark, tmp_path):
     path = str(tmp_path / "db")
     store = Store.open(spark, path)
-    if store:
-        with pytest.raises(StoreIOError):
-            Store.open(spark, path)
-        store.put(b"a", b"1")
-        first = store.last
-        store.write(WriteBatch().put(b"a", b"2").put(b"", b"").delete(b"x"))
-        assert store.get(b"a") == b"2" and store.get(b"a", first) == b"1" and store.get(b"") == b""
-        store.delete(b"a")
-        for key in (b"a", b"nothing"):
-            with pytest.raises(NotFound):
-                store.get(key)
-        assert store.last == 5
-        RecordWriter(store._log, store.env.size(store.log_path)).add(WriteBatch([(b"late", b"v")], 6).contents())
-        store._log.write(encode([b"cut short"])[:-3])
-        store.abandon()
+    with pytest.raises(StoreIOError):
+        Store.open(spark, path)
+    store.put(b"a", b"1")
+    first = store.last
+    store.write(WriteBatch().put(b"a", b"2").put(b"", b"").delete(b"x"))
+    assert store.get(b"a") == b"2" and store.get(b"a", first) == b"1" and store.get(b"") == b""
+    store.delete(b"a")
+    for key in (b"a", b"nothing"):
+        with pytest.raises(NotFound):
+            store.get(key)
+    assert store.last == 5
+    RecordWriter(store._log, store.env.size(store.log_path)).add(WriteBatch([(b"late", b"v")], 6).contents())
+    store._log.write(encode([b"cut short"])[:-3])
+    store.abandon()
     with Store.open(spark, path) as store:
         assert store.get(b"late") == b"v" and store.last == 6
 
