@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,3 +170,97 @@ def random_spans(texts):
             if good and f[1] >= part[max(good) - 1][1]:
                 out[f[2]].append(f[3])
     return [sorted(s) for s in out]
+
+
+def letters_and_marks(text):
+    """Words: runs of letters, each with the combining marks that follow."""
+    out, word = [], ""
+    for c in text.lower():
+        letter = c.isalnum() and unicodedata.category(c) != "Nd"
+        mark = 0x300 <= ord(c) < 0x20000 and unicodedata.category(c) in ("Mn", "Mc")
+        if letter or (mark and word):
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out + [word] * bool(word)
+
+
+class Languages:
+    """Per-word gram scores and a Viterbi pass over dictionaries, one word after another."""
+
+    def __init__(self, rows, script_of, penalty=12.0):
+        self.script_of, self.penalty = script_of, penalty
+        self.counts, self.script = defaultdict(Counter), defaultdict(Counter)
+        for text, lang in rows:
+            for w in letters_and_marks(text):
+                self.counts[lang].update(self.grams(w))
+                self.script[script_of(w[0])][lang] += len(w)
+        self.langs = sorted(self.counts)
+        self.every = set().union(*self.counts.values())
+        self.size = {x: sum(self.counts[x].values()) + 0.5 * (len(self.every) + 1) for x in self.langs}
+        self.letters = {x: sum(s[x] for s in self.script.values()) for x in self.langs}
+        self.known = {}
+
+    @staticmethod
+    def grams(word):
+        marked = f"^{word}$"
+        return [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1) if n > 1 or marked[i] not in "^$"]
+
+    def scores(self, word):
+        kept = "".join(c for c in word if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc"))
+        while kept and not kept[0].isalpha():
+            kept = kept[1:]
+        if not kept:
+            return None
+        tally = Counter(self.grams(kept))
+        out = {x: sum(n * math.log((self.counts[x][g] + 0.5) / self.size[x]) for g, n in tally.items()) for x in self.langs}
+        seen = self.script.get(self.script_of(kept[0]))
+        if seen:
+            allowed = {x for x in self.langs if seen[x] >= 0.01 * max(self.letters[x], 1)}
+            least = min(out.values())
+            if allowed:
+                out = {x: v if x in allowed else least - 100 for x, v in out.items()}
+        return out
+
+    def predict(self, text):
+        best, back = None, []
+        for w in letters_and_marks(text or ""):
+            if w not in self.known:
+                self.known[w] = self.scores(w)
+            if (s := self.known[w]) is None:
+                continue
+            if best is None:
+                best = dict(s)
+                continue
+            top = max(self.langs, key=lambda x: best[x])
+            step = {x: x if best[x] >= best[top] - self.penalty else top for x in self.langs}
+            best = {x: max(best[x], best[top] - self.penalty) + s[x] for x in self.langs}
+            back.append(step)
+        if best is None:
+            return "und", 0.0
+        path = [max(self.langs, key=lambda x: best[x])]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        votes = Counter(path)
+        first = min(votes, key=lambda x: (-votes[x], x))
+        return first, votes[first] / len(path)
+
+
+def text_statistics(text):
+    """The quality model's features, each by its definition."""
+    raw, words_, lines = text.encode(), text.split(), [x for x in text.split("\n") if x]
+    n, m, k = max(1, len(raw)), max(1, len(words_)), max(1, len(lines))
+    share = lambda test: sum(map(test, raw)) / n
+    plain = ".,;:!?'\"-"
+    ascii_ = lambda b, test: b < 128 and test(chr(b))
+    counts, sizes = Counter(raw), [len(w) for w in words_] or [0]
+    mean = sum(sizes) / len(sizes)
+    return [
+        math.log1p(len(raw)), share(lambda b: ascii_(b, str.isalpha)), share(lambda b: ascii_(b, str.isupper)), share(lambda b: ascii_(b, str.isdigit)), share(lambda b: b in b" \t"), share(lambda b: b in b"\n\r"),
+        share(lambda b: chr(b) in plain), share(lambda b: 32 < b < 127 and not chr(b).isalnum() and chr(b) not in plain), share(lambda b: b >= 128), share(lambda b: b < 32 and b not in b"\t\n\r"),
+        -sum(c / n * math.log2(c / n) for c in counts.values()), math.log1p(len(words_)), mean, math.sqrt(sum((s - mean) ** 2 for s in sizes) / len(sizes)), math.log1p(max(sizes)), len(set(words_)) / m,
+        max(Counter(words_).values(), default=0) / m, sum(s == 1 for s in sizes) / m, sum(w[0].isupper() for w in words_) / m, sum(not w[-1].isalnum() and w[-1] not in ".,;:!?)\"'" for w in words_) / m,
+        math.log1p(len(lines)), math.log1p(len(text) / k), len(set(lines)) / k, sum(len(x) < 30 for x in lines) / k, m / max(1, len(re.findall("[.!?]+", text))), sum(x[-1] not in ".!?" for x in lines) / k,
+        len(zlib.compress(raw, 1)) / (n + 16), len(set(zip(words_, words_[1:]))) / m, sum(s > 12 for s in sizes) / m,
+    ]

@@ -198,3 +198,24 @@ def test_embeddings_of_every_length_and_scale(spark):
     assert got[6] == [(1, 6)] and got[7] == [(1, 6)]
     assert got[8] == [(1, 8)] and got[9] == [(0, 9)] and got[10] == [(1, 8)]
     assert all(got[100 + i] == [(1, 100 + i % 40)] for i in range(80))
+
+
+def test_minhash_recall_on_a_larger_table(spark, sf):
+    """Against all pairs of sf0.01: nothing wrong, and 0.9 of the members of components found."""
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = {i: c for (i, _), (_, c) in brute.near_groups(rows, 4).items()}
+    got = {r.doc_id: r.component_id for r in minhash.cluster(docs, words=4).collect()}
+    copies = [i for i, c in want.items() if i != c]
+    found = sum(got[i] == want[i] for i in copies)
+    print(f"recall of copies: {found} of {len(copies)}")
+    assert len(copies) > 30 and found >= 0.9 * len(copies)
+    assert all(got[i] == i or want[i] == want[got[i]] for i in got)
+
+
+def test_minhash_large_classes_look_up_their_component(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_CLASS", 5)
+    texts = ["one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta", "single text of its own kind here"]
+    rows = [(i, texts[0]) for i in range(40)] + [(100 + i, texts[1]) for i in range(3)] + [(200, texts[2]), (300, None), (None, texts[0])]
+    got = {r.doc_id: r.component_id for r in minhash.cluster(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == {**{i: 0 for i in range(40)}, **{100 + i: 100 for i in range(3)}, 200: 200, 300: 300, None: 0}

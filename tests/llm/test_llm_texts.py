@@ -327,3 +327,56 @@ def test_a_megabyte_without_a_space_is_scanned_in_seconds():
     began = time.perf_counter()
     finder.find(text)
     assert time.perf_counter() - began < 20
+
+
+def test_language_query_equals_the_plain_version(docs, rows):
+    import zlib
+
+    train = [(t, lang) for i, t, lang, _ in rows if t is not None and lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)]
+    plain = brute.Languages(train, lang_id.script_of)
+    assert len(plain.every) < lang_id.MODEL_GRAMS  # none is left out of the model
+    want = {(i, t): plain.predict(t) for i, t, *_ in rows}
+    got = keyed(lang_id.predict(docs).collect())
+    order = sorted(rows, key=lambda r: repr(r[0]))
+    assert [r.doc_id for r in got] == [r[0] for r in order]
+    for r, (i, t, *_) in zip(got, order, strict=True):
+        assert r.lang_pred == want[i, t][0] and r.score == pytest.approx(want[i, t][1]), i
+
+
+def test_language_words_keep_their_marks():
+    text = "नमस्ते दुनिया สวัสดี வணக்கம் x́y 12²a _b_ İz"
+    assert lang_id._LETTERS.findall(text.lower()) == brute.letters_and_marks(text)
+    assert lang_id._LETTERS.findall("नमस्ते दुनिया") == ["नमस्ते", "दुनिया"]
+
+
+def test_skipped_viterbi_equals_viterbi():
+    rng = np.random.default_rng(4)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    names = sorted({g for w in words for g in lang_id.grams(w)})
+    model = lang_id.pack(["a", "b", "c"], names, rng.integers(0, 50, (len(names), 3)).astype(float), {}, 6.0)
+    tool, mixed = lang_id.Labeller(model), 0
+    texts = [[words[int(k)] for k in rng.integers(0, 300, int(n))] for n in rng.integers(0, 40, 400)]
+    for text, path in zip(texts, tool.label(texts), strict=True):
+        ids = np.array([tool.known[w] for w in text], dtype=int)
+        if ids.size:
+            [(_, want)] = lang_id.viterbi([(0, ids)], tool.scores, 6.0)
+            assert path.tolist() == want.tolist()
+            mixed += len(set(path.tolist())) > 1
+    assert 20 < mixed < 380
+
+
+def test_quality_query_equals_the_plain_version(spark, docs, rows):
+    labels = spark.createDataFrame([(r[0], int(k % 3 > 0)) for k, r in enumerate(rows) if r[0] is not None and r[0] != 900_008], "doc_id long, quality int")
+    forest = quality.fit(docs, labels.filter(~lang_id.held_out(5, 0)), "quality")
+    got, order = keyed(quality.classify(docs, labels).collect()), sorted(rows, key=lambda r: repr(r[0]))
+    assert len(forest.feature) > 10
+    for r, (i, t, *_) in zip(got, order, strict=True):
+        x, margin = brute.text_statistics(t or ""), forest.base
+        assert quality.statistics(t or "") == pytest.approx(x, rel=1e-9, abs=1e-12), i
+        x = quality.statistics(t or "")
+        for f, cut, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if x[f[at]] > cut[at] else 1)
+            margin += leaf[at - len(f)]
+        assert r.doc_id == i and r.score == pytest.approx(1 / (1 + np.exp(-margin))) and r.predicted == int(r.score >= 0.3)
