@@ -27,23 +27,43 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
+#: Staged tables of this driver that are still there.
+_STAGED: set[str] = set()
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{tag}-{uuid.uuid4().hex}"
+    _STAGED.add(path)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._staged_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _STAGED.discard(path)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a table made by :func:`stage` once nothing will read it again."""
     path = getattr(df, "_staged_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def staged() -> set[str]:
+    """The staged tables that are there now; what a call adds to them, its result may still read."""
+    return set(_STAGED)
+
+
+def clean_up(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete all staged tables but ``keep``, once the results that read them have been written."""
+    for path in staged() - set(keep):
+        _delete(spark, path)
 
 
 def text_of(name: str = "text") -> Column:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, text_of
+from palimpsest.llm.common import WORD, stage, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     carry = carry or {}
     body = text_of(text)
-    rows = docs.select(
+    sized = docs.select(
         F.col(key).alias("_key"),
         # never null, and in the order of sources with null last
         F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string"))).alias("_source"),
@@ -83,13 +83,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         (-F.log(uniform(F.col(key), body)) / quality_weight(body)).alias("_order"),
         *[c.alias(f"_carry_{n}") for n, c in carry.items()],
     )
-    targets = source_targets(rows.select("_source", "size"), weights)
-    total = docs.count()
+    # Words are counted once for everything that needs no carried column.
+    narrow = stage(sized.select("_key", "_source", "size", "_order"), "sizes")
+    targets = source_targets(narrow.select("_source", "size"), weights)
+    total = narrow.count()
     buckets = max(16, total // BUCKET_ROWS)
     # exp(-key) falls as the key grows and fills (0, 1) about evenly
     bucket = F.least(F.lit(buckets - 1), F.floor((1.0 - F.exp(-F.col("_order"))) * buckets)).cast("long")
-    rows = rows.withColumn("_bucket", bucket)
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_in"))
+    rows = (sized if carry else narrow).withColumn("_bucket", bucket)
+    sums = narrow.withColumn("_bucket", bucket).groupBy("_source", "_bucket").agg(F.sum("size").alias("_in"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0).cast("long"))).drop("_in")
     sums = sums.join(targets, "_source")
