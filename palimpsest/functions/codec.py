@@ -137,7 +137,7 @@ def sized_col(data: Column) -> Column:
 
 def internal_key_col(user_key: Column, seq: Column, kind: Column) -> Column:
     checked = F.when(seq.between(0, MAX_SEQUENCE) & kind.isin(0, 1), kind).otherwise(F.raise_error(F.lit("InvalidArgument: sequence or type out of range")).cast("int"))
-    sequence = F.substring(fixed64_col(seq), 1, 7)
+    sequence = F.substring(_little(F.hex(seq.cast("long")), 8), 1, 7)
     return F.concat(user_key, F.unhex(F.lpad(F.hex(checked.cast("long")), 2, "0")), sequence)
 
 

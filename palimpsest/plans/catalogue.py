@@ -321,7 +321,8 @@ def internal_key_hex(spark, sf_dir):
 @query(f"WITH {V} SELECT user_key, seq, type FROM V")
 def internal_key_parse(spark, sf_dir):
     key = codec.internal_key_col(F.col("user_key").cast("binary"), F.col("seq"), F.col("type"))
-    parsed = _versions(spark, sf_dir).df.select(codec.parse_internal_key_col(key).alias("p"))
+    # the key is a column of its own, so that it is made once and not in each place that reads it
+    parsed = _versions(spark, sf_dir).df.select(key.alias("k")).select(codec.parse_internal_key_col(F.col("k")).alias("p"))
     return parsed.select(F.col("p.user_key").cast("string").alias("user_key"), "p.seq", "p.type")
 
 
