@@ -2,11 +2,12 @@
 
 A document is its set of word shingles. Documents with equal sets form one class, and only one
 member of each goes on. A class's signature is laid out in several orders ("trees"); each tree
-sorts all signatures, and every class takes as candidates its neighbours in that order as long
-as they share at least the shortest prefix, and the first class of its prefix. Neighbours have
-the longest common prefixes, so crowded regions are matched deep and sparse ones shallow without
-a setting, and a class has at most ``NEAR + 1`` candidates in each tree at first. Sorting is by
-range, so a crowded prefix is spread over tasks.
+sorts all signatures, and the longest common prefix with the neighbours is known from the order.
+A class's depth in a tree is the longest prefix that it shares with a neighbour there; those of
+its ``NEAR`` predecessors that share almost as much (:data:`LOOSE` values less) and the shortest prefix
+at least are its candidates, with the first class of its prefix. So crowded regions are matched
+deep and sparse ones shallow without a setting. Sorting is by range, so a crowded prefix is
+spread over tasks.
 
 Candidates whose sizes or one-bit sketches rule the similarity out are dropped; all others are
 compared on their full sets. The first round compares each class with its least candidate. After
@@ -41,8 +42,8 @@ from palimpsest.llm.graph import extend
 TREES = 20
 #: Signature values that neighbours must share at least, and values that go on ordering them.
 SHORTEST, DEEPER = 4, 8
-#: Neighbours on one side that become candidates.
-NEAR = 2
+#: Predecessors in an order that may become candidates, and values by which their common prefix may fall short of the longest.
+NEAR, LOOSE = 3, 3
 #: Hubs of a component.
 HUBS = 8
 SKETCH_BITS = 128
@@ -144,6 +145,18 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
     return map_texts(docs, {key: F.col(key)}, text_of(text), make, "n long, h1 long, h2 long, orders array<long>, sketch binary")
 
 
+def common_prefix(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Values of the order that rows share from its start: the folded prefix first, then 16 bits each."""
+    out = np.where(a[0] == b[0], SHORTEST, 0)
+    open_ = out > 0
+    for x, y in zip(a[1:], b[1:], strict=True):
+        apart = x.view(_U) ^ y.view(_U)
+        same = (apart < _U(1 << 48)).astype(np.int64) + (apart < _U(1 << 32)) + (apart < _U(1 << 16)) + (apart == 0)
+        out = out + np.where(open_, same, 0)
+        open_ &= same == 4
+    return out
+
+
 def candidates(classes: DataFrame, partitions: int) -> DataFrame:
     """Distinct pairs ``a < b`` of class ids that are neighbours in a tree."""
     width = 1 + DEEPER // 4
@@ -159,23 +172,30 @@ def candidates(classes: DataFrame, partitions: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, prefix, ids, n = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("tree", "o0", "id", "n"))
             sketch = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sketch")).to_pylist()), dtype=_U).reshape(-1, SKETCH_BITS // 64)
-            rows = [tree, prefix, ids, n, sketch]
+            rows = [_column(batch, c) for c in ("tree", "id", "n", *[f"o{i}" for i in range(width)])] + [sketch]
             fresh = 0
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
                 fresh = len(held[0])
-            tree, prefix, ids, n, sketch = rows
+            tree, ids, n, *order_, sketch = rows
             size = len(ids)
             place = np.arange(size)
-            starts = np.r_[True, (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])]
-            first = np.maximum.accumulate(np.where(starts, place, 0))
+            shared = common_prefix([o[1:] for o in order_], [o[:-1] for o in order_]) * (tree[1:] == tree[:-1])
+            before = np.r_[0, shared]  # with the row before
+            first = np.maximum.accumulate(np.where(before == 0, place, 0))
+            deepest = np.maximum(before, np.r_[shared, 0])
+            least, reached = np.maximum(SHORTEST, deepest - LOOSE), before
             left, right = [], []
             for j in range(1, NEAR + 2):
                 # the last turn takes the first row of the prefix instead of a neighbour
-                other = place - j if j <= NEAR else first
-                ok = (other >= first) & (place >= fresh) & (other != place)
+                if j <= NEAR:
+                    other, ok = place - j, (place >= j) & (reached >= least)
+                    # the common prefix with the row one further back is the least on the way
+                    reached = np.minimum(reached, np.r_[np.zeros(min(j, size), dtype=np.int64), before[: max(0, size - j)]])
+                else:
+                    other, ok = first, first != place
+                ok &= place >= fresh
                 x, y = place[ok], other[ok]
                 small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
                 ok = (100 * small >= 80 * large) & (np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= SKETCH_SLACK) & (ids[x] != ids[y])
@@ -423,7 +443,7 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
         unstage(old)
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("_component"), "_members")
     whole = _looked_up(signed.select("id", *names), of_class, names)
-    component = F.coalesce("_component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("_component", "id"))
     for used in (pairs, full, near, rest):
         unstage(used)
     return whole.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

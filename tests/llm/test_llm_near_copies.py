@@ -218,4 +218,10 @@ def test_minhash_large_classes_look_up_their_component(spark, monkeypatch):
     texts = ["one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta", "single text of its own kind here"]
     rows = [(i, texts[0]) for i in range(40)] + [(100 + i, texts[1]) for i in range(3)] + [(200, texts[2]), (300, None), (None, texts[0])]
     got = {r.doc_id: r.component_id for r in minhash.cluster(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
-    assert got == {**{i: 0 for i in range(40)}, **{100 + i: 100 for i in range(3)}, 200: 200, 300: 300, None: 0}
+    assert got == {**{i: 0 for i in range(40)}, **{100 + i: 100 for i in range(3)}, 200: 200, 300: 300, None: None}
+
+
+def test_common_prefix_counts_values():
+    a = [np.array([7, 7, 7, 8]), np.array([5 << 48, 5 << 48, (5 << 48) + (3 << 32), 5 << 48]), np.array([1, 1 << 20, 1, 1])]
+    b = [np.array([7, 7, 7, 7]), np.array([5 << 48, 5 << 48, 5 << 48, 5 << 48]), np.array([1, 1, 1, 1])]
+    assert minhash.common_prefix(a, b).tolist() == [12, 10, 5, 0]
