@@ -125,7 +125,6 @@ def map_texts(df: DataFrame, keep: dict[str, Column], text: Column, make, column
                 arrays += [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], type=f.type) for f in list(arrow)[len(names) :]]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, arrow, strict=True)], schema=arrow)
                 del made, arrays, part
-            release()
         del work
         release()
 

@@ -5,9 +5,9 @@ word then gets a log score per language from character n-grams, and a Viterbi pa
 words of a text, with a penalty for each switch, labels its spans. The text's language is the
 one that most of its words carry.
 
-Words are scored and labelled a block of texts at a time, in numpy. A text needs no Viterbi pass
-if over no stretch of its words other languages beat its best single one by the penalty: a switch
-can't pay there, so the constant path is the only best one.
+Words are scored and labelled a block of texts at a time, in numpy. Where no stretch of words lets
+other languages beat the text's best single one by the penalty, a switch can't pay and the best
+path stays with it; only the stretches between such places take a Viterbi pass, which changes no label.
 
 The model is fitted on at most :data:`SAMPLE_ROWS` labelled rows (chosen by a hash of their
 id) and keeps at most :data:`MODEL_GRAMS` n-grams: those with the largest share of any one
@@ -159,24 +159,40 @@ def fit(df: DataFrame, text: str, label: str, key: Column, sample_rows: int = SA
     return pack(langs, names, table, {k: v for k, v in scripts.items() if any(v)}, penalty)
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.uint64, np.ndarray]:
+    """For each slot of a table of about 32 times the keys: one key's place, and whether several keys fall there; with the hash's shift."""
+    bits = max(10, int(32 * max(1, keys.size)).bit_length())
+    shift = np.uint64(64 - bits)
+    spot = ((keys * _SPREAD) >> shift).astype(np.int64)
+    slot = np.zeros(1 << bits, dtype=np.int32)
+    slot[spot] = np.arange(keys.size)
+    return slot, shift, np.bincount(spot, minlength=1 << bits) > 1
+
+
 class Labeller:
     """Labels words with a fitted model; the scores of a bounded number of words are kept between blocks."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.place = {chr(c): i + 1 for i, c in enumerate(model.alphabet.tolist())}
+        # the last row of all is a sum of nothing
+        self.table = np.vstack([model.table, np.zeros((1, model.table.shape[1]))])
+        self.place = np.zeros(0x110000, dtype=np.uint16)
+        self.place[model.alphabet] = np.arange(1, model.alphabet.size + 1)
+        self.slots = [_slots(k) for k in model.keys]
         self.known: dict[str, int] = {}
         self.used = 0
         self.scores = np.zeros((1024, max(1, len(model.langs))))
+        self.blocks = np.zeros(1024, dtype=np.int32)  # blocks that held the word
 
     def words(self, text: str) -> list[str]:
         return _LETTERS.findall(text.lower())
 
     def _codes(self, chars: str) -> np.ndarray:
         """Places of characters in the model's alphabet."""
-        points = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        at = np.minimum(np.searchsorted(self.model.alphabet, points), self.model.alphabet.size - 1)
-        return np.where(self.model.alphabet[at] == points, at + 1, 0).astype(np.uint64)
+        return self.place[np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.uint64)
 
     def _gram_rows(self, codes: np.ndarray, order: int) -> np.ndarray:
         """The table's row of each gram of ``order`` characters that begins in ``codes``."""
@@ -188,12 +204,19 @@ class Labeller:
         last = len(self.model.table) - 1
         if not known.size:
             return np.full(n, last)
-        at = np.minimum(np.searchsorted(known, key), known.size - 1)
-        return np.where(known[at] == key, rows[at], last)
+        slot, shift, crowded = self.slots[order - 1]
+        spot = ((key * _SPREAD) >> shift).astype(np.int64)
+        at = slot[spot]
+        out = np.where(known[at] == key, rows[at], last)
+        # slots that several keys share are looked up by search
+        if (shared := np.flatnonzero(crowded[spot])).size:
+            at = np.minimum(np.searchsorted(known, key[shared]), known.size - 1)
+            out[shared] = np.where(known[at] == key[shared], rows[at], last)
+        return out
 
     def raw_scores(self, words: list[str]) -> np.ndarray:
         """Log score of each word in each language, grams only."""
-        table = self.model.table
+        table = self.table
         out = np.zeros((len(words), table.shape[1]))
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         if len(words) == 1 and sizes[0] >= _LONG_WORD:
@@ -206,17 +229,15 @@ class Labeller:
         starts = np.cumsum(sizes + 2) - sizes - 2
         where = np.arange(codes.size) - np.repeat(starts, sizes + 2)
         room = np.repeat(sizes + 2, sizes + 2) - where
+        sums = np.zeros((codes.size, table.shape[1]))
         for order in ORDERS:
             rows = self._gram_rows(codes, order)
             inside = room[: rows.size] >= order
             if order == 1:
                 inside &= (where > 0) & (room > 1)
-            # every word has a gram of order 1 and 2; of a higher order perhaps none
-            count = np.maximum(0, sizes + 3 - order) if order > 1 else sizes
-            some = count > 0
-            got = table[rows[inside]]
-            out[some] += np.add.reduceat(got, (np.cumsum(count) - count)[some], axis=0) if len(got) else 0.0
-        return out
+            rows[~inside] = len(table) - 1
+            sums[: rows.size] += table[rows]
+        return np.add.reduceat(sums, starts, axis=0)
 
     def _score(self, words: list[str]) -> np.ndarray:
         """Log scores of words of letters, languages of other scripts far below."""
@@ -228,40 +249,56 @@ class Labeller:
                 begin, chars = at, 0
             chars += len(word)
         out[begin:] = self.raw_scores(words[begin:])
-        kinds = np.array([script_of(w[0]) for w in words])
-        for kind in set(kinds.tolist()):
-            if (allowed := self.model.scripts.get(kind)) is not None:
+        firsts = np.frombuffer("".join([w[0] for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kinds = np.searchsorted(_STARTS, firsts, side="right") - 1
+        for kind in np.unique(kinds).tolist():
+            if (allowed := self.model.scripts.get(_RANGES[kind][1])) is not None:
                 rows = np.flatnonzero(kinds == kind)
                 part = out[rows]
                 out[rows] = np.where(allowed, part, part.min(axis=1, keepdims=True) - 100.0)
         return out
 
     def _learn(self, words: set[str]) -> None:
-        real = []
-        for w in sorted(words):
-            plain = _plain(w)
-            self.known[w] = self.used + len(real) if plain else -1
-            if plain:
+        names = [w for w in words if w.isalpha()]
+        real = list(names)
+        for w in words.difference(names):
+            if plain := _plain(w):
+                names.append(w)
                 real.append(plain)
+            else:
+                self.known[w] = -1
+        self.known.update(zip(names, range(self.used, self.used + len(real)), strict=True))
         while self.used + len(real) > len(self.scores):
             self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
+            self.blocks = np.r_[self.blocks, np.zeros_like(self.blocks)]
         if real:
             self.scores[self.used : self.used + len(real)] = self._score(real)
         self.used += len(real)
 
+    def _forget(self) -> None:
+        """Keep the words that several blocks held, if they leave room; most words occur once."""
+        stay = [(w, i) for w, i in self.known.items() if i >= 0 and self.blocks[i] > 1]
+        stay = stay if len(stay) <= _CACHE_WORDS // 2 else []
+        rows = [i for _, i in stay]
+        self.known.clear()
+        self.known.update((w, k) for k, (w, _) in enumerate(stay))
+        self.used = len(rows)
+        self.scores = np.vstack([self.scores[rows], np.zeros((1024, self.scores.shape[1]))])
+        self.blocks = np.r_[self.blocks[rows], np.zeros(1024, dtype=np.int32)]
+
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language index of each word of each text; -1 for what holds no letter."""
         known = self.known
         fresh = set().union(*texts).difference(known)
         if len(known) + len(fresh) > _CACHE_WORDS:
-            known.clear()
-            self.used, self.scores = 0, self.scores[:1024].copy()
-            fresh = set().union(*texts)
+            self._forget()
+            fresh = set().union(*texts).difference(known)
         self._learn(fresh)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ids = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(texts)), sizes)
         real = ids >= 0
+        self.blocks[: self.used] += np.bincount(ids[real], minlength=self.used) > 0
         out = np.full(ids.size, -1, dtype=np.int16)
         out[real] = self._paths(ids[real], owner[real])
         return np.split(out, np.cumsum(sizes)[:-1]) if len(texts) else []
@@ -278,18 +315,37 @@ class Labeller:
         place = np.arange(ids.size)
         own = scores[place, mine].copy()
         scores[place, mine] = -np.inf
-        # what the best other language gains on the text's own over a stretch: prefix sums less the least one before
+        # What the best other language gains on the text's own, word by word. A stretch of others that
+        # ends at a word gains at most the prefix sum there less the least one before; where that isn't
+        # above 0 the word is the own language's. A stretch from the text's start saves one switch.
         gain = np.maximum(scores.max(axis=1) - own, -4 * penalty)
         total = np.cumsum(gain)
+        shift = np.repeat(np.arange(len(starts)), sizes) * (2.0 * np.abs(total).max() + 2 * penalty + 1.0)
+        total -= shift
         before = total - gain
-        apart = 2.0 * np.abs(total).max() + 1.0
-        shift = np.repeat(np.arange(len(starts)), sizes) * apart
-        most = np.maximum.reduceat((total - shift) - np.minimum.accumulate(before - shift), starts)
+        hot = total - np.minimum.accumulate(before) > penalty - 1e-3
         out = mine.astype(np.int16)
-        mixed = np.flatnonzero(most > penalty - 1e-3)
-        items = [(int(k), ids[starts[k] : starts[k] + sizes[k]]) for k in mixed]
-        for k, path in viterbi(items, self.scores, penalty):
-            out[starts[k] : starts[k] + sizes[k]] = path
+        if not hot.any():
+            return out
+        before[starts] -= penalty
+        cut = total <= np.minimum.accumulate(before)
+        first = np.zeros(ids.size, dtype=bool)
+        first[starts] = True
+        begins = np.flatnonzero(first | np.r_[False, cut[:-1]])
+        ends = np.r_[begins[1:], ids.size]
+        mixed = np.flatnonzero(np.maximum.reduceat(hot, begins))
+        # a word that only the own language can have written stands for what is cut off on either side
+        used, langs = self.used, scores.shape[1]
+        padded = np.vstack([self.scores[:used], np.where(np.eye(langs, dtype=bool), 0.0, -1e9)])
+        items = []
+        for k in mixed.tolist():
+            a, b = int(begins[k]), int(ends[k])
+            pad = [used + int(mine[a])]
+            items.append((k, np.r_[[] if first[a] else pad, ids[a:b], pad if cut[b - 1] else []].astype(np.int64)))
+        for k, path in viterbi(items, padded, penalty):
+            a, b = int(begins[k]), int(ends[k])
+            at = 0 if first[a] else 1
+            out[a:b] = path[at : at + b - a]
         return out
 
 
