@@ -105,6 +105,7 @@ def _signer(words: int):
     s_plus = rng.integers(0, 1 << 62, SKETCH_BITS, dtype=_U)
     times, plus = np.r_[times, s_times], np.r_[plus, s_plus]
     shingle = Shingler(words)
+    room = np.empty((128, times.size), dtype=_U)  # fits the processor's cache
     shifts = (_U(16) * np.arange(4, dtype=_U))[None, :]
 
     def sign(text: str):
@@ -112,9 +113,12 @@ def _signer(words: int):
         if not got.size:
             return 0, 0, 0, None, None
         least = np.full(times.size, _U(0xFFFFFFFFFFFFFFFF))
-        for at in range(0, got.size, 4096):
-            part = got[at : at + 4096]
-            least = np.minimum(least, (part[:, None] * times + plus).min(axis=0))
+        for at in range(0, got.size, len(room)):
+            part = got[at : at + len(room)]
+            made = room[: part.size]
+            np.multiply(part[:, None], times, out=made)
+            made += plus
+            np.minimum(least, made.min(axis=0), out=least)
         values = _mix(least)
         sig, sketch = values[:count], np.packbits((values[count:] & _U(1)).astype(np.uint8)).tobytes()
         folded = np.zeros(TREES, dtype=_U)
