@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.errors import Corruption, InvalidArgument, NotFound, StoreIOError
-from palimpsest.functions.codec import fixed
+from palimpsest.functions.codec import fixed, sized
 from palimpsest.operators import batch as wb
 from palimpsest.operators import bloom
 from palimpsest.operators.batch import WriteBatch
@@ -86,41 +88,46 @@ def test_repeats_need_ingest_id(spark):
     assert t.multi_get(spark.createDataFrame([("k", 5)], "user_key string, snap bigint")).first()["value"] == "new"
 
 
-def dump(spark, b: WriteBatch) -> str:
-    """Entries in key order."""
-    rows = sorted(b.rows(), key=lambda r: (r[0], -r[1], -r[2]))
-    return "".join(f"Put({k.decode()}, {v.decode()})@{s}" if t else f"Delete({k.decode()})@{s}" for k, s, t, v in rows)
+OPS = st.lists(st.tuples(st.binary(max_size=6), st.none() | st.binary(max_size=200)), max_size=12)
 
 
-def test_batch_goldens(spark):
-    assert dump(spark, WriteBatch()) == "" and WriteBatch().contents() == bytes(12)
-    b = WriteBatch(sequence=100).put(b"foo", b"bar").delete(b"box").put(b"baz", b"boo")
-    assert b.count == 3 and dump(spark, WriteBatch.from_contents(b.contents())) == "Put(baz, boo)@102Delete(box)@101Put(foo, bar)@100"
-    cut = WriteBatch(sequence=200).put(b"foo", b"bar").delete(b"box").contents()[:-1]
-    with pytest.raises(Corruption, match="bad WriteBatch Delete"):
-        WriteBatch.from_contents(cut)
-    assert dump(spark, WriteBatch.from_contents(cut, lenient=True)) == "Put(foo, bar)@200"
-    for bad, why in ((b"short", "too small"), (fixed(0, 8) + fixed(2, 4) + b"\x00\x01a", "wrong count"), (fixed(0, 8) + fixed(1, 4) + b"\x07", "unknown")):
-        with pytest.raises(Corruption, match=why):
-            WriteBatch.from_contents(bad)
+@given(OPS, st.integers(0, 2**56 - 1))
+def test_batch_round_trip(ops, base):
+    made = WriteBatch(sequence=base)
+    for key, value in ops:
+        made.delete(key) if value is None else made.put(key, value)
+    back = WriteBatch.from_contents(made.contents())
+    assert (back.ops, back.sequence, back.count) == (ops, base, len(ops))
+    assert made.byte_size() == len(made.contents()) == 12 + sum(1 + len(sized(k)) + (0 if v is None else len(sized(v))) for k, v in ops)
+    assert back.rows() == [(k, base + i, int(v is not None), v) for i, (k, v) in enumerate(ops)]
+    made.clear()
+    assert made.ops == [] and made.contents() == bytes(12)
 
 
-def test_batch_append(spark):
-    one, two = WriteBatch(sequence=200), WriteBatch(sequence=300)
-    one.append(two)
-    assert dump(spark, one) == ""
-    two.put(b"a", b"va")
-    one.append(two)
-    assert dump(spark, one) == "Put(a, va)@200"
-    two.clear()
-    two.put(b"b", b"vb")
-    one.append(two)
-    assert dump(spark, one) == "Put(a, va)@200Put(b, vb)@201"
-    two.delete(b"foo")
+@given(OPS.filter(bool), st.data())
+def test_cut_batches_keep_what_is_whole(ops, data):
+    contents, ends = WriteBatch(ops).contents(), [12]
+    for k, v in ops:
+        ends.append(ends[-1] + 1 + len(sized(k)) + (0 if v is None else len(sized(v))))
+    cut = data.draw(st.integers(12, len(contents) - 1))
+    whole = sum(e <= cut for e in ends) - 1
+    assert WriteBatch.from_contents(contents[:cut], lenient=True).ops == ops[:whole]
+    why = "wrong count" if cut in ends else "bad WriteBatch " + ("Delete" if ops[whole][1] is None else "Put")
+    with pytest.raises(Corruption, match=why):
+        WriteBatch.from_contents(contents[:cut])
+
+
+@pytest.mark.parametrize("bad, why", [(b"eleven byte", "too small"), (bytes(8) + fixed(1, 4) + b"\x09", "unknown")])
+def test_bad_batches(bad, why):
+    with pytest.raises(Corruption, match=why):
+        WriteBatch.from_contents(bad)
+
+
+@given(OPS, OPS)
+def test_batch_append(first, second):
+    one, two = WriteBatch(first, 40), WriteBatch(second, 90)
     one.append(two)
-    assert dump(spark, one) == "Put(a, va)@200Put(b, vb)@202Put(b, vb)@201Delete(foo)@203"
-    sizes = [WriteBatch().byte_size(), WriteBatch().put(b"foo", b"bar").byte_size(), one.byte_size()]
-    assert sizes == sorted(set(sizes)) and one.byte_size() == len(one.contents())
+    assert (one.ops, one.sequence, two.ops, two.sequence) == (first + second, 40, second, 90)
 
 
 def test_batch_visitor():
