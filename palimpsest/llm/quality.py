@@ -5,8 +5,8 @@ of their id); only their statistics, never texts, come to the driver. Trees are
 arrays of feature, threshold and child, and a whole block of documents walks each tree level
 by level in numpy.
 
-Null text is read as empty and scored like any text. A text seen with several labels trains on
-their mean. Without labelled rows, or with one class only, the score is the share of label 1
+Null text is read as empty and scored like any text. An id with several labels trains on
+their mean; equal texts with unlike labels are rows of their own. Without labelled rows, or with one class only, the score is the share of label 1
 (0.5 without any). Every row is returned, repeated rows too; other columns are ignored.
 """
 
