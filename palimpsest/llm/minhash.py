@@ -458,8 +458,8 @@ def _looked_up(rows: DataFrame, of_class: DataFrame, names: list[str]) -> DataFr
     same = lambda r: [F.col(c) == F.col(f"{r}{c}") for c in names]
     large = of_class.filter(F.col("_members") > HOT_CLASS).select(*[F.col(f"_{c}").alias(f"_l{c}") for c in names], F.col("_component").alias("_large"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_lsalt"))
     salted = rows.withColumn("_salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(large.hint("merge"), [*same("_l"), F.col("_salt") == F.col("_lsalt")], "left")
-    # what has its component already looks for a class that there isn't, each row another one
-    gone = F.col("_large").isNotNull()
+    # what has its component already, or an empty set, looks for a class that there isn't, each row another one
+    gone = F.col("_large").isNotNull() | (F.col("n") == 0)
     asked = salted.select("id", *names, "_large", *[F.when(gone, F.lit(-1) if c == "n" else F.xxhash64("id", F.lit(c))).otherwise(F.col(c)).alias(f"_a{c}") for c in names])
     small = of_class.filter(F.col("_members") <= HOT_CLASS)
     joined = asked.join(small.hint("merge"), [F.col(f"_a{c}") == F.col(f"_{c}") for c in names], "left")
