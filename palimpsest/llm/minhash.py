@@ -252,23 +252,30 @@ def _groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
-    """``tree, prefix, id, n, sketch``: each class once in each tree."""
+def shared_prefixes(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``tree, prefix, id, n, sketch, all, component``: each class in each tree whose prefix it shares with another; ``all`` are its prefixes by tree.
+
+    Most prefixes have one class. Only keys move until they are out.
+    """
     width = 1 + DEEPER // 4
-    every = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("orders", t * width))).alias("tree", "prefix")
-    return classes.select(every, "id", "n", "sketch")
+    all_ = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("orders", t * width))
+    keys = classes.select(F.posexplode(all_).alias("tree", "prefix"), "id")
+    several = keys.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("tree", "prefix")
+    rows = keys.join(several.hint("merge"), ["tree", "prefix"], "left_semi")
+    known = classes.select("id", "n", "sketch", all_.alias("all"))
+    placed = rows.join(known.hint("merge"), "id").join(found.hint("merge"), F.col("id") == F.col("node"), "left")
+    return placed.select("tree", "prefix", "id", "n", "sketch", "all", F.coalesce("component", "id").alias("component"))
 
 
 GROUP_KEYS = ["tree", "prefix", "i", "j"]
 
 
-def crowded(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``tree, prefix, i, j, side, id, n, sketch, component``: the ``rows`` (of :func:`prefixes`) whose prefix holds several components, in each pair of blocks that has theirs.
+def crowded(placed: DataFrame) -> DataFrame:
+    """``tree, prefix, i, j, side, id, n, sketch, all, component``: the rows (of :func:`shared_prefixes`) whose prefix holds several components, in each pair of blocks that has theirs.
 
     Blocks of rows outside the prefix's largest component are numbered from 0 and meet each
     other and the blocks of the largest one, numbered from -1 downwards; ``side`` is a row's own.
     """
-    placed = rows.select("tree", "prefix", "id", "n", "sketch").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("tree", "prefix", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("tree", "prefix", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_s"))
     split = sizes.groupBy("tree", "prefix").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.max(F.struct("_n", "component", "_s")).alias("_top"), F.count(F.lit(1)).alias("_apart")).filter("_apart > 1")
     parts = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
@@ -284,11 +291,14 @@ def crowded(rows: DataFrame, found: DataFrame) -> DataFrame:
             F.transform(F.sequence(F.lit(0), F.col("_mains") - 1), lambda k: F.struct(F.col("side").alias("i"), (-1 - k).alias("j"))),
         ),
     ).otherwise(F.transform(others, lambda i: F.struct(i.alias("i"), F.col("side").alias("j"))))
-    return dealt.select("tree", "prefix", F.explode(meets).alias("_meet"), "side", "id", "n", "sketch", "component").select("tree", "prefix", "_meet.i", "_meet.j", "side", "id", "n", "sketch", "component")
+    return dealt.select("tree", "prefix", F.explode(meets).alias("_meet"), "side", "id", "n", "sketch", "all", "component").select("tree", "prefix", "_meet.i", "_meet.j", "side", "id", "n", "sketch", "all", "component")
 
 
 def possible(rows: DataFrame, partitions: int) -> DataFrame:
-    """Those of ``rows`` (of :func:`crowded`) that sizes and sketches leave a partner in another component, without the sketch."""
+    """Those of ``rows`` (of :func:`crowded`) that sizes and sketches leave a partner in another component, without the sketch.
+
+    A pair counts in the first tree only where it shares a prefix.
+    """
 
     def compare(batches):
         import pyarrow as pa
@@ -297,9 +307,10 @@ def possible(rows: DataFrame, partitions: int) -> DataFrame:
             size = rows_.num_rows
             n, component, side = (rows_.column(c).to_numpy() for c in ("n", "component", "side"))
             signs, touched = _sketches(rows_), np.zeros(size, dtype=bool)
+            earlier = rows_.column("all").combine_chunks().flatten().to_numpy().reshape(size, TREES)[:, : rows_.column("tree")[0].as_py()]
             own_block = bool(rows_.column("i")[0].as_py() == rows_.column("j")[0].as_py())
             loose = np.flatnonzero(side >= 0)
-            step = max(1, 500_000 // max(1, size))
+            step = max(1, 100_000 // max(1, size))
             for at in range(0, len(loose), step):
                 x = loose[at : at + step, None]
                 ok = component[x] != component[None, :]
@@ -309,6 +320,8 @@ def possible(rows: DataFrame, partitions: int) -> DataFrame:
                 a, b = np.nonzero(ok)
                 a = loose[at + a]
                 ok = np.bitwise_count(signs[a] ^ signs[b]).sum(axis=1) <= SKETCH_SLACK
+                a, b = a[ok], b[ok]
+                ok = ~(earlier[a] == earlier[b]).any(axis=1)
                 touched[a[ok]] = touched[b[ok]] = True
             if touched.any():
                 kept = rows_.filter(pa.array(touched)).combine_chunks().to_batches()[0]
@@ -408,6 +421,7 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
     sets = signed.filter("id is not null and n > 0")
     classes = sets.groupBy(*names).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_members"))
     chosen = sets.join(classes.withColumnsRenamed({c: f"_{c}" for c in names}), (F.col("id") == F.col("rep")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n"))).select("id", "n", "sketch", "orders")
+    chosen = stage(chosen, "chosen")
     pairs = stage(candidates(chosen, partitions), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets_of = lambda nodes: stage(shingle_sets(plain.filter("id is not null").join(nodes.hint("merge"), "id", "left_semi"), words), "sets")
@@ -439,7 +453,9 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
         every = apart.select("a", "b").unionAll(hubbed).distinct()
         wanted = every.join(tried, ["a", "b"], "left_anti")
     # What is still apart in a shared prefix is compared there.
-    near = stage(possible(crowded(prefixes(chosen), found), partitions), "possible")
+    shared = stage(shared_prefixes(chosen, found), "shared")
+    near = stage(possible(crowded(shared), partitions), "possible")
+    unstage(shared)
     rest = sets_of(near.select("id").distinct())
     new = stage(joining_links(near, rest, partitions), "links")
     if new.limit(1).count():
@@ -448,7 +464,7 @@ def cluster(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("_component"), "_members")
     whole = _looked_up(signed.select("id", *names), of_class, names)
     component = F.when(F.col("id").isNotNull(), F.coalesce("_component", "id"))
-    for used in (pairs, full, near, rest):
+    for used in (pairs, full, near, rest, chosen):
         unstage(used)
     return whole.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
