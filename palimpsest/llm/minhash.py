@@ -43,7 +43,7 @@ TREES = 20
 #: Signature values that neighbours must share at least, and values that go on ordering them.
 SHORTEST, DEEPER = 4, 8
 #: Predecessors in an order that may become candidates, and values by which their common prefix may fall short of the longest.
-NEAR, LOOSE = 3, 3
+NEAR, LOOSE = 2, 3
 #: Hubs of a component.
 HUBS = 8
 SKETCH_BITS = 128
