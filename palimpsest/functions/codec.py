@@ -95,8 +95,8 @@ def _little(hexed: Column, width: int) -> Column:
 
 
 def fixed32_col(value: Column) -> Column:
-    """Four bytes, least first, of a number below 2^32."""
-    return _little(F.hex(value.cast("long")), 4)
+    """Four bytes, least first, of a number's lowest 32 bits."""
+    return _little(F.hex(value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 4)
 
 
 def fixed64_col(value: Column) -> Column:
