@@ -149,6 +149,60 @@ def test_splits_give_every_record_once(tmp_path):
         assert got == list(rl.RecordReader(io.BytesIO(bytes(data))))
 
 
+def test_many_files_and_splits_take_few_tasks(tmp_path):
+    for i in range(300):
+        with open(tmp_path / f"{i:03d}.log", "wb") as f:
+            f.truncate(5 * B + i)
+    for faults, options in ((False, {"splitBlocks": "2"}), (False, {"splitBlocks": "2", "initialOffset": str(B + 7)}), (True, {"mode": "corruptions"})):
+        reader = rl._Reader({"path": str(tmp_path), **options})
+        tasks = reader.partitions()
+        assert 32 <= len(tasks) <= rl.MOST_TASKS
+        # each file from the first byte asked for to its end, without a gap; reports don't part a file
+        seen = {}
+        for split in (x for t in tasks for x in t.splits):
+            assert split.start == seen.get(split.path, reader.initial)
+            seen[split.path] = split.end
+        assert len(seen) == 300 and set(seen.values()) == {None}
+        assert not faults or sum(len(t.splits) for t in tasks) == 300
+        held = [sum((x.end or os.path.getsize(x.path)) - x.start for x in t.splits) for t in tasks]
+        assert max(held) < 2 * sum(held) / len(held)
+
+
+def test_packed_splits_give_every_record_once(spark, tmp_path):
+    rng, want, lost = random.Random(7), [], []
+    for i in range(40):
+        records = [bytes([i]) * rng.choice([0, 1, 100, 5000, 40_000, 90_000]) for _ in range(12)]
+        data = bytearray(rl.encode(records))
+        for _ in range(i % 3):
+            data[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
+        path = str(tmp_path / f"{i:03d}.log")
+        (tmp_path / f"{i:03d}.log").write_bytes(data)
+        want += [(path, o, p) for o, p in rl.RecordReader(io.BytesIO(bytes(data)), on_drop=lambda n, why, path=path: lost.append((path, n, why)))]
+    reader = rl._Reader({"path": str(tmp_path), "splitBlocks": "1"})
+    tasks = reader.partitions()
+    assert len(tasks) <= rl.MOST_TASKS < sum(-(-os.path.getsize(f) // B) for f in rl.files(str(tmp_path)))
+    assert [r for t in tasks for r in reader.read(t)] == want
+    rl.register(spark)
+    read_ = lambda **o: sorted(tuple(r) for r in spark.read.format("record_log").options(**o).load(str(tmp_path)).collect())
+    assert [(f, o, bytes(p)) for f, o, p in read_(splitBlocks="1")] == sorted(want)
+    assert lost and read_(mode="corruptions") == sorted(lost)
+
+
+def test_blocks_beyond_the_end_are_read_one_by_one():
+    class Counting(io.BytesIO):
+        count = 0
+
+        def read(self, n=-1):
+            self.count += 1
+            return super().read(n)
+
+    source = Counting(rl.encode([b"x" * 1000] * 3000))
+    for offset, _ in rl.RecordReader(source, until=3 * B):
+        if offset >= 3 * B:
+            break
+    assert source.count == 4
+
+
 def test_spark_source(spark, tmp_path):
     rl.register(spark)
     path = str(tmp_path / "logs")
