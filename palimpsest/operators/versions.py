@@ -19,6 +19,8 @@ from palimpsest.operators import ranges
 
 ABSENT, FOUND, DELETED = "ABSENT", "FOUND", "DELETED"
 SCHEMA = "user_key binary, seq bigint, type int, value binary"
+#: Rows of both sides of a join that one task takes.
+JOINED = 500_000
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -118,8 +120,17 @@ class VersionTable:
         return ranked.filter((F.col("_rank") == 1) & (F.col("type") == VALUE)).select("user_key", "seq", "value")
 
     def contains(self, entries: DataFrame) -> DataFrame:
-        """Those of ``entries`` (user_key, seq, type) that are in the table."""
-        return entries.join(self.df.select("user_key", "seq", "type"), ["user_key", "seq", "type"], "left_semi")
+        """Those of ``entries`` (user_key, seq, type) that are in the table.
+
+        Beyond :data:`JOINED` rows both sides are dealt to as many tasks as their rows need, so that what a
+        task sorts doesn't grow with the table.
+        """
+        key = ["user_key", "seq", "type"]
+        known = self.df.select(*key)
+        parts = (entries.count() + known.count()) // JOINED + 1
+        if parts > 1:
+            entries, known = entries.repartition(parts, *key), known.repartition(parts, *key)
+        return entries.join(known, key, "left_semi")
 
     # ---- the ordered cursor: all versions and tombstones ----
 

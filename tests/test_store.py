@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.errors import Corruption, InvalidArgument, NotFound, StoreIOError
 from palimpsest.functions.codec import fixed, sized
 from palimpsest.operators import batch as wb
-from palimpsest.operators import bloom
+from palimpsest.operators import bloom, versions
 from palimpsest.operators.batch import WriteBatch
 from palimpsest.operators.store import Store
 from palimpsest.operators.versions import VersionTable, checked
@@ -29,6 +29,16 @@ A = [("a", 10, 1, "x"), ("a", 20, 1, "y"), ("a", 30, 0, None), ("b", 5, 1, ""),
 LOOKUPS = [("a", 9, "ABSENT", None), ("a", 10, "FOUND", "x"), ("a", 19, "FOUND", "x"), ("a", 20, "FOUND", "y"), ("a", 29, "FOUND", "y"), ("a", 30, "DELETED", None), ("a", 99, "DELETED", None), ("ab", 99, "ABSENT", None), ("b", 5, "FOUND", ""), ("c", 7, "FOUND", "z"), ("", 1, "FOUND", "e"), ("a", 99, "DELETED", None)]
 
 
+def test_contains_deals_rows_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(versions, "JOINED", 50)
+    rows = [(f"k{i % 7}", i, i % 2, "v") for i in range(200)]
+    asked = [(k, q + shift, t) for k, q, t, _ in rows for shift in (0, 1)] * 2
+    found = table(spark, rows).contains(spark.createDataFrame(asked, "user_key string, seq bigint, type int"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((k, q, t) for k, q, t, _ in rows for _ in range(2))
+    # 1,000 rows of both sides, 50 for each task
+    assert found._jdf.queryExecution().executedPlan().toString().count(", 21), REPARTITION_BY_NUM") == 2
+
+
 @pytest.mark.parametrize("span", [1, 8, 1 << 12])
 def test_multi_get(spark, span):
     asked = spark.createDataFrame([x[:2] for x in LOOKUPS], "user_key string, snap bigint")
