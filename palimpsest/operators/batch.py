@@ -12,6 +12,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.errors import Corruption
 from palimpsest.functions.codec import DELETION, VALUE, fixed, read_fixed, read_sized, sized, varint_length, varint_length_col
@@ -134,21 +135,62 @@ def encoded_size(ops: DataFrame) -> DataFrame:
     return ops.agg((F.lit(HEADER) + F.coalesce(F.sum(one), F.lit(0))).cast("long").alias("byte_size"), F.count(F.lit(1)).alias("op_count"))
 
 
-def encode(ops: DataFrame, group: str, base: str) -> DataFrame:
-    """``group, contents``: one encoded batch for each group; a batch is one value and so must fit in memory."""
+#: Bytes, and operations, that Python makes before it hands them on.
+CHUNK_BYTES, CHUNK_OPS = 4 << 20, 10_000
+
 
-    @F.pandas_udf("binary")
-    def pack(starts: pd.Series, kinds: pd.Series, keys: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([WriteBatch([(bytes(k), bytes(v) if t == VALUE else None) for t, k, v in zip(ts, ks, vs, strict=True)], int(s)).contents() for s, ts, ks, vs in zip(starts, kinds, keys, values, strict=True)], dtype=object)
+def encode(ops: DataFrame, group: str, base: str) -> DataFrame:
+    """``group, contents``: one encoded batch for each group; a batch is one value and so must fit in memory.
 
+    Python unpacks one batch at a time.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("op_index", "type", F.col("user_key").cast("binary").alias("k"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("v"))))
-    lists = ops.groupBy(group).agg(F.min(base).alias("_base"), ordered.alias("_ops"))
-    return lists.select(group, pack("_base", F.col("_ops.type"), F.col("_ops.k"), F.col("_ops.v")).alias("contents"))
+    lists = ops.groupBy(group).agg(F.min(base).cast("long").alias("_base"), ordered.alias("_ops"))
+    schema = T.StructType([lists.schema[group], T.StructField("contents", T.BinaryType())])
+
+    def run(parts):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+
+        def made(part, begin: int, contents: list[bytes]):
+            return pa.RecordBatch.from_arrays([part.column(0).slice(begin, len(contents)).cast(arrow[0].type), pa.array(contents, type=arrow[1].type)], schema=arrow)
+
+        for part in parts:
+            contents, held, begin = [], 0, 0
+            for i, start in enumerate(part.column(1).to_pylist()):
+                _, kinds, keys, values = (x.to_pylist() for x in part.column(2)[i].values.flatten())
+                contents.append(WriteBatch([(k, v if t == VALUE else None) for t, k, v in zip(kinds, keys, values, strict=True)], start).contents())
+                held += len(contents[-1])
+                if held >= CHUNK_BYTES:
+                    yield made(part, begin, contents)
+                    contents, held, begin = [], 0, i + 1
+            if contents:
+                yield made(part, begin, contents)
+
+    return _in_small_batches(lists).mapInArrow(run, schema)
+
+
+def _in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; rows come to Python in Arrow batches of about 4 MB, unless the session has set a size of its own."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(name, str(CHUNK_BYTES))
+    return df
 
 
 def decode(batches: DataFrame, keep: list[str], lenient: bool = False) -> DataFrame:
     """``keep``, ``base``, and one row for each operation of the encoded ``contents``."""
     kept = [batches.schema[c] for c in keep]
+    names = [*keep, "base", "op_index", "type", "user_key", "value"]
+
+    def found(data: bytes):
+        try:
+            yield from operations(data)
+        except Corruption:
+            if not lenient:
+                raise
 
     def run(parts):
         for pdf in parts:
@@ -157,9 +199,13 @@ def decode(batches: DataFrame, keep: list[str], lenient: bool = False) -> DataFr
                 *carried, data = values
                 data = bytes(data)
                 base = read_fixed(data, 8) if len(data) >= HEADER else 0
-                for i, (k, v) in enumerate(WriteBatch.from_contents(data, lenient).ops):
+                for i, (k, v) in enumerate(found(data)):
                     rows.append((*carried, base, i, VALUE if v is not None else DELETION, k, v))
-            yield pd.DataFrame(rows, columns=[*keep, "base", "op_index", "type", "user_key", "value"])
+                    if len(rows) >= CHUNK_OPS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["base bigint", OPS])
-    return batches.select(*keep, "contents").mapInPandas(run, schema)
+    return _in_small_batches(batches.select(*keep, "contents")).mapInPandas(run, schema)

@@ -39,6 +39,28 @@ def test_contains_deals_rows_to_as_many_tasks_as_they_need(spark, monkeypatch):
     assert found._jdf.queryExecution().executedPlan().toString().count(", 21), REPARTITION_BY_NUM") == 2
 
 
+def test_batches_are_coded_and_decoded_in_small_parts(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(wb, "CHUNK_OPS", 7)
+    monkeypatch.setattr(wb, "CHUNK_BYTES", 100)
+    rows = [(b, i, i % 3 != 0, f"key {i}", f"value {b} {i}" if i % 3 else None) for b in range(5) for i in range(10)]
+    ops = spark.createDataFrame([(b, 10 * b + i, int(put), k, v) for b, i, put, k, v in rows], "batch_id bigint, op_index bigint, type int, user_key string, value string")
+    coded = wb.encode(ops.coalesce(1).withColumn("base", F.col("op_index")), "batch_id", "base")
+    want = {b: WriteBatch([(k.encode(), v.encode() if v else None) for c, _, _, k, v in rows if c == b], 10 * b).contents() for b in range(5)}
+    assert {r["batch_id"]: bytes(r["contents"]) for r in coded.collect()} == want
+
+    class Frame:  # hands out the function that Spark would run
+        schema, sparkSession = coded.schema, spark
+        select = lambda self, *columns: self
+        mapInPandas = lambda self, run, schema: run
+
+    parts = list(wb.decode(Frame(), ["batch_id"])([pd.DataFrame({"batch_id": list(want), "contents": list(want.values())})]))
+    assert max(map(len, parts)) <= 7
+    got = [(r.batch_id, r.op_index, bool(r.type), r.user_key.decode(), r.value and r.value.decode()) for r in pd.concat(parts).itertuples()]
+    assert got == rows
+
+
 @pytest.mark.parametrize("span", [1, 8, 1 << 12])
 def test_multi_get(spark, span):
     asked = spark.createDataFrame([x[:2] for x in LOOKUPS], "user_key string, snap bigint")
