@@ -249,10 +249,11 @@ class _Packer:
     """Deals splits, as they come, to tasks of about the same number of bytes; a file's neighbouring splits become one."""
 
     def __init__(self, total: int):
-        self.each, self.taken, self.tasks = max(1, total / max(MOST_TASKS, total / TASK_BYTES)), 0, []
+        self.most = max(MOST_TASKS, -(-total // TASK_BYTES))
+        self.each, self.taken, self.tasks = max(1, total / self.most), 0, []
 
     def add(self, split: Split, count: int) -> None:
-        task = int(self.taken / self.each)
+        task = min(int(self.taken / self.each), self.most - 1)
         self.taken += count
         if not self.tasks or task != self.tasks[-1][0]:
             self.tasks.append((task, [split]))

@@ -152,7 +152,7 @@ def test_splits_give_every_record_once(tmp_path):
 def test_many_files_and_splits_take_few_tasks(tmp_path):
     for i in range(300):
         with open(tmp_path / f"{i:03d}.log", "wb") as f:
-            f.truncate(5 * B + i)
+            f.truncate(5 * B + i if i < 290 else 0)
     for faults, options in ((False, {"splitBlocks": "2"}), (False, {"splitBlocks": "2", "initialOffset": str(B + 7)}), (True, {"mode": "corruptions"})):
         reader = rl._Reader({"path": str(tmp_path), **options})
         tasks = reader.partitions()
@@ -164,7 +164,7 @@ def test_many_files_and_splits_take_few_tasks(tmp_path):
             seen[split.path] = split.end
         assert len(seen) == 300 and set(seen.values()) == {None}
         assert not faults or sum(len(t.splits) for t in tasks) == 300
-        held = [sum((x.end or os.path.getsize(x.path)) - x.start for x in t.splits) for t in tasks]
+        held = [sum(max(0, (x.end or os.path.getsize(x.path)) - x.start) for x in t.splits) for t in tasks]
         assert max(held) < 2 * sum(held) / len(held)
 
 
